@@ -7,7 +7,6 @@ import unicodedata
 from collections.abc import Iterable
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -18,7 +17,10 @@ FIELD = "field"
 
 @F.arrow_udf(StringType())
 def _nfkc(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, form="NFKC")
+    # Not Arrow's own utf8_normalize: its composed forms come out decomposed.
+    return pa.array(
+        [None if text is None else unicodedata.normalize("NFKC", text) for text in values.to_pylist()], pa.string()
+    )
 
 
 def slug(name: Column, ascii_only: bool = False) -> Column:
