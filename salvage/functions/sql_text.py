@@ -77,8 +77,12 @@ def lowered(sql: Column) -> Column:
     return F.lower(F.coalesce(sql, F.lit("")))
 
 
-def query_class(lower: Column) -> Column:
-    head = F.btrim(lower, F.lit(_CONTROLS))
+def head_of(lower: Column) -> Column:
+    return F.btrim(lower, F.lit(_CONTROLS))
+
+
+def query_class(head: Column) -> Column:
+    """The class by the trimmed, lower-cased text."""
     found = F
     for prefix, name in PREFIX_CLASSES:
         found = found.when(head.startswith(prefix), name)

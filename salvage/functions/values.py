@@ -99,3 +99,31 @@ def _text(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(value)
     return value.cast("string")
+
+
+def _holds_keys(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_keys(kind.elementType)
+    return isinstance(kind, (T.MapType, T.StructType))
+
+
+def sorted_keys(value: Column, kind: T.DataType) -> Column:
+    """Struct fields and map entries in key order, map entries without a value left out."""
+    if not _holds_keys(kind):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda item: sorted_keys(item, kind.elementType))
+    if isinstance(kind, T.MapType):
+        kept = F.map_filter(value, lambda _, item: item.isNotNull())
+        if _holds_keys(kind.valueType):
+            kept = F.transform_values(kept, lambda _, item: sorted_keys(item, kind.valueType))
+        return F.map_from_entries(F.array_sort(F.map_entries(kept), _by_key))
+    fields = sorted(kind.fields, key=lambda field: field.name)
+    return F.when(
+        value.isNotNull(),
+        F.struct(*[sorted_keys(value.getField(f.name), f.dataType).alias(f.name) for f in fields]),
+    )
+
+
+def _by_key(a: Column, b: Column) -> Column:
+    return F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)

@@ -8,10 +8,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salvage.functions.values import normalize_values
 from salvage.operators.scope import relationships_in_scope, select_objects
 from salvage.options import Selection
+from salvage.session import union_all
 
 KEYS = "table string, name string, primary_key boolean, unique boolean, columns array<string>"
 RELATIONSHIPS = (
@@ -67,11 +69,22 @@ def _any_null(cols: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
 
 
+def _short(value: Column, kind: T.DataType) -> Column:
+    """Long texts stand in as their SHA-256, longer than any text kept as it is: a key over whole
+    documents moves digests, not documents."""
+    if not isinstance(kind, (T.StringType, T.BinaryType)):
+        return value
+    return F.when(F.octet_length(value) > 64, F.concat(F.lit("#"), F.sha2(value, 256))).otherwise(
+        value.cast("string")
+    )
+
+
 def _audit_key(df: DataFrame, key: Key) -> DataFrame:
     # Equal keys combine on the map side, so a value that fills a third of the table is one row per task;
     # only the key columns are read.
-    cols = list(key.columns)
-    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    cols = [f"_k{i}" for i in range(len(key.columns))]
+    values = [_short(F.col(c), df.schema[c].dataType).alias(k) for c, k in zip(key.columns, cols)]
+    groups = df.groupBy(*values).agg(F.count(F.lit(1)).alias("_n"))
     incomplete = _any_null(cols)
     facts = groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
@@ -95,7 +108,7 @@ def _audit_key(df: DataFrame, key: Key) -> DataFrame:
 
 def audit_keys(tables: Mapping[str, DataFrame], keys: Iterable[Key]) -> DataFrame:
     """Rows, surplus rows and incomplete rows per declared key. A primary key must also be complete."""
-    return reduce(DataFrame.unionByName, [_audit_key(tables[key.table], key) for key in keys])
+    return union_all(_audit_key(tables[key.table], key) for key in keys)
 
 
 def _audit_relationship(child: DataFrame, parent: DataFrame, rel: Relationship) -> DataFrame:
@@ -124,9 +137,8 @@ def audit_relationships(tables: Mapping[str, DataFrame], rels: Iterable[Relation
     Children with an incomplete reference refer to nothing and are no orphans. Whether the parent side is
     broadcast is left to its size.
     """
-    return reduce(
-        DataFrame.unionByName,
-        [_audit_relationship(tables[rel.from_table], tables[rel.to_table], rel) for rel in rels],
+    return union_all(
+        _audit_relationship(tables[rel.from_table], tables[rel.to_table], rel) for rel in rels
     )
 
 

@@ -19,7 +19,7 @@ NO_TRANSLATION = "-- no translation --"
 TRANSLATION_NOTE = "SQL translation generated conservatively"
 SUCCESS_BAR = 0.5
 
-_LOWER, _FOUND, _BLANK = "_lower", "_found", "_blank"
+_LOWER, _HEAD, _FOUND, _BLANK = "_lower", "_head", "_found", "_blank"
 
 
 def _prepared(
@@ -33,16 +33,18 @@ def _prepared(
         work[_BLANK] = sql_text.is_blank(F.col("sql"))
     if mode:
         work[_FOUND] = sql_text.found_sources(F.coalesce(F.col("sql"), F.lit("")), mode)
-    return q.withColumns(work)
+    prepared = q.withColumns(work)
+    # A second step, so that the trimmed text is computed once and not in every test of it.
+    return prepared.withColumn(_HEAD, sql_text.head_of(F.col(_LOWER))) if lower else prepared
 
 
 def _finished(q: DataFrame) -> DataFrame:
-    return q.drop(_LOWER, _FOUND, _BLANK)
+    return q.drop(_LOWER, _HEAD, _FOUND, _BLANK)
 
 
 def classify_queries(q: DataFrame) -> DataFrame:
     """The class of each query by its text."""
-    return _finished(_prepared(q, lower=True).withColumn("type", sql_text.query_class(F.col(_LOWER))))
+    return _finished(_prepared(q, lower=True).withColumn("type", sql_text.query_class(F.col(_HEAD))))
 
 
 def dialect_warnings(q: DataFrame) -> DataFrame:
@@ -126,7 +128,7 @@ def query_models(
         *keys,
         "name",
         slug(F.col("name"), ascii_names).alias("slug"),
-        sql_text.query_class(F.col(_LOWER)).alias("type"),
+        sql_text.query_class(F.col(_HEAD)).alias("type"),
         F.coalesce("sql", F.lit("")).alias("sql"),
         F.array().cast("array<string>").alias("parameters"),
         sql_text.dependencies(F.col(_FOUND)).alias("dependencies"),
@@ -163,7 +165,7 @@ def query_inventory(q: DataFrame, keys: tuple[str, ...] = (), ascii_names: bool
         *keys,
         "name",
         slug(F.col("name"), ascii_names).alias("slug"),
-        sql_text.query_class(F.col(_LOWER)).alias("type"),
+        sql_text.query_class(F.col(_HEAD)).alias("type"),
         parameter_count(F.coalesce("sql", F.lit(""))).alias("parameter_count"),
         F.coalesce("sql", F.lit("")).alias("sql"),
     )

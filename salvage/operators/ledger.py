@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from salvage.functions import sql_text
 from salvage.operators.corpus import SUCCESS_BAR, TRANSLATION_NOTE, translation_status
 from salvage.operators.skew import lookup_join
 from salvage.options import UnpackOptions
+from salvage.session import union_all
 
 COVERAGE = "category string, name string, status string, confidence double, reason string, details map<string,string>"
 DIAGNOSTICS = (
@@ -97,9 +97,9 @@ def query_coverage(q: DataFrame, dialect: str = "NONE", bar: float = SUCCESS_BAR
             "_found": sql_text.found_sources(F.coalesce(sql, F.lit("")), mode),
         }
     )
-    facts = work.select(
+    facts = work.withColumn("_head", sql_text.head_of(F.col("_lower"))).select(
         "name",
-        sql_text.query_class(F.col("_lower")).alias("_type"),
+        sql_text.query_class(F.col("_head")).alias("_type"),
         F.to_json(sql_text.dependencies(F.col("_found"))).alias("_dependencies"),
         sql_text.confidence(F.col("_lower"), F.col("_blank")).alias("_confidence"),
     )
@@ -158,7 +158,7 @@ def coverage_ledger(
     if queries is not None:
         parts.append(query_coverage(queries, dialect))
     parts.append(unrecovered_coverage(spark, full_fidelity))
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def coverage_summary(coverage: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def coverage_summary(coverage: DataFrame) -> DataFrame:
 
 def diagnostics_ledger(*parts: DataFrame, stamped: bool = False) -> DataFrame:
     """warnings and errors of all steps. ``stamped`` adds the time of the run."""
-    united = reduce(DataFrame.unionByName, [part.select(*DIAGNOSTIC_COLUMNS) for part in parts])
+    united = union_all(part.select(*DIAGNOSTIC_COLUMNS) for part in parts)
     return united.withColumn("timestamp", F.current_timestamp()) if stamped else united
 
 
@@ -199,7 +199,7 @@ def inventory_counts(
             parts.append(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n"))
     absent = [kind for kind in COUNTED_KINDS if counted.get(kind) is None]
     zeros = spark.createDataFrame([(kind, 0) for kind in (*absent, *UNCOUNTED_KINDS)], "kind string, n bigint")
-    return reduce(DataFrame.unionByName, [*parts, zeros])
+    return union_all([*parts, zeros])
 
 
 def referenced_artifacts(coverage: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from concurrent.futures import ThreadPoolExecutor
 from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -11,8 +10,9 @@ from pyspark.sql import functions as F
 
 from salvage.functions.names import distinct_slugs, safe_columns
 from salvage.functions.text import BOM, CHARSETS, WIDE_CHARSET_SETTINGS, wide_charsets
-from salvage.functions.values import normalize_values, stringify
+from salvage.functions.values import normalize_values, sorted_keys, stringify
 from salvage.options import FORMATS
+from salvage.session import PARALLEL_JOBS, side_by_side
 from salvage.sources.dumps import dump_catalog
 from salvage.sources.tables import by_name
 
@@ -66,11 +66,13 @@ def read_csv(spark: SparkSession, path: str, columns: Iterable[str], encoding: s
 
 
 def export_json(df: DataFrame, path: str) -> None:
-    """One object per line, keys sorted, nulls left out."""
+    """One object per line, keys sorted and nulls left out at every level."""
     normalized = normalize_values(df)
     plain = normalized.toDF(*[f"_{i}" for i in range(len(normalized.columns))])
-    ordered = sorted(enumerate(normalized.columns), key=lambda item: item[1])
-    plain.select(*[F.col(f"_{i}").alias(name) for i, name in ordered]).write.mode("overwrite").json(path)
+    ordered = sorted(enumerate(normalized.schema.fields), key=lambda item: item[1].name)
+    plain.select(
+        *[sorted_keys(F.col(f"_{i}"), field.dataType).alias(field.name) for i, field in ordered]
+    ).write.mode("overwrite").json(path)
 
 
 def export_parquet(df: DataFrame, path: str, typed: bool = False) -> None:
@@ -95,7 +97,7 @@ def export_tables(
     encoding: str = "UTF8",
     typed: bool = False,
     slugs: Mapping[str, str] | None = None,
-    parallelism: int = 8,
+    parallelism: int = PARALLEL_JOBS,
 ) -> DataFrame:
     """Every table in every format under ``<out>/data``, one ledger row for each.
 
@@ -122,8 +124,7 @@ def export_tables(
     tasks = [(table, kind) for table in by_name(tables) for kind in formats]
     # A charset outside the standard ones is a session setting while its write is planned: one at a time.
     alone = CHARSETS[encoding][0] != "UTF-8"
-    with ThreadPoolExecutor(1 if alone else parallelism) as pool:
-        rows = list(pool.map(export, tasks))
+    rows = side_by_side(export, tasks, 1 if alone else parallelism)
     return spark.createDataFrame(rows, LEDGER)
 
 

@@ -4,24 +4,46 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 0.01
 SALTS = 64
 
-_HOT, _SALT = "_hot", "_salt"
+# Keys a frequency sketch tracks: enough to tell a share of one percent from its error of about 0.1.
+_TRACKED = 1024
+# Sketches are merged in this many tasks before the last merge, which then has a fixed size.
+_MERGES = 512
+_HASH, _SALT = "_hash", "_salt"
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows: at most ``1 / share`` of them.
+    """One row: hashes of the keys that hold more than ``share`` of the rows, at most ``1 / share`` of them.
 
-    Counting combines on the map side, so a hot key costs one row per task here.
+    Every task reduces its keys to a small frequency sketch, so finding the hot keys moves no keys around.
+    The sketch is an estimate. It only says which keys ``lookup_join`` spreads; the result never depends
+    on it.
     """
-    present = df.select(*keys).dropna()
-    total = df.select(F.count(F.lit(1)).alias("n")).scalar()
-    counts = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > total * share).select(*keys)
+    present = df.dropna(subset=keys).select(F.xxhash64(*keys).alias(_HASH))
+    by_task = present.groupBy(F.pmod(F.spark_partition_id(), F.lit(_MERGES)).alias("_merge")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.call_function("approx_top_k_accumulate", F.col(_HASH), F.lit(_TRACKED)).alias("_sketch"),
+    )
+    whole = by_task.groupBy(F.lit(0).alias("_all")).agg(
+        F.sum("_n").alias("_n"),
+        F.call_function("approx_top_k_combine", F.col("_sketch"), F.lit(_TRACKED)).alias("_sketch"),
+    )
+    top = F.call_function("approx_top_k_estimate", F.col("_sketch"), F.lit(int(1 / share)))
+    return whole.select("_n", top.alias("_top")).select(
+        F.transform(
+            F.filter("_top", lambda item: item["count"] > F.col("_n") * share), lambda item: item["item"]
+        ).alias("hot")
+    )
+
+
+def _is_hot(hot: DataFrame, keys: list[str]) -> Column:
+    found = F.coalesce(hot.scalar(), F.array().cast("array<bigint>"))
+    return F.array_contains(found, F.xxhash64(*keys))
 
 
 def lookup_join(
@@ -30,28 +52,22 @@ def lookup_join(
     keys: list[str],
     how: str = "left",
     hot: DataFrame | None = None,
-    share: float = HOT_SHARE,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on ``keys``, spreading the rows of hot left keys over ``salts`` tasks.
 
     The salt is the number of the input partition, so a task that is run again picks the same one
     whatever order its rows come in, and even exact copies of a row are spread. Only right rows of hot
-    keys are copied. The list of hot keys is the one broadcast side, and its length is bounded by
-    ``1 / share``. Left rows with a missing key match nothing and are spread in the same way instead of
-    meeting in one task.
+    keys are copied. Left rows with a missing key match nothing and are spread in the same way instead of
+    meeting in one task. Which side is broadcast, if any, is left to its size.
 
-    ``hot`` hands in the hot keys where they can be had more cheaply than from ``left`` itself.
+    ``hot`` hands in ``hot_keys`` where they can be had more cheaply than from ``left`` itself.
     """
     if hot is None:
-        hot = hot_keys(left, keys, share)
-    hot = F.broadcast(hot.withColumn(_HOT, F.lit(True)))
+        hot = hot_keys(left, keys)
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salt = F.pmod(F.spark_partition_id(), F.lit(salts))
-    salted_left = left.join(hot, keys, "left").withColumn(
-        _SALT, F.when(F.col(_HOT) | missing, salt).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(hot, keys, "left").withColumn(_SALT, F.explode(copies))
-    joined = salted_left.drop(_HOT).join(salted_right.drop(_HOT), [*keys, _SALT], how)
-    return joined.drop(_SALT)
+    salted_left = left.withColumn(_SALT, F.when(missing | _is_hot(hot, keys), salt).otherwise(F.lit(0)))
+    copies = F.when(_is_hot(hot, keys), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_right = right.withColumn(_SALT, F.explode(copies))
+    return salted_left.join(salted_right, [*keys, _SALT], how).drop(_SALT)

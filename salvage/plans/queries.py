@@ -17,7 +17,7 @@ from salvage.operators import audit, corpus, ledger, scope, sinks
 from salvage.options import EVERYTHING, SCHEMA_ONLY
 from salvage.plans.shapes import given, given_tables, properties, shape
 from salvage.plans.unpack import Declarations, unpack
-from salvage.session import scratch_dir
+from salvage.session import scratch_dir, union_all
 from salvage.sources import dumps, tables
 from salvage.streaming.corpus_stream import stream_queries, write_query_models
 
@@ -267,10 +267,7 @@ def encode_texts(spark, sf):
                 "decoded",
             )
         )
-    united = frames[0]
-    for frame in frames[1:]:
-        united = united.unionByName(frame)
-    return united
+    return union_all(frames)
 
 
 @query

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Iterable, Mapping
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from salvage.functions.text import encode_text
 from salvage.operators import audit, corpus, ledger, sinks
 from salvage.operators.scope import select_objects
 from salvage.options import UnpackOptions
+from salvage.session import side_by_side, union_all
 from salvage.sources import tables as source_tables
 from salvage.sources.dumps import STALE_ON_OPEN, stale_link_hints
 
@@ -207,7 +206,7 @@ class _Run:
     def close(self) -> UnpackResult:
         spark, options = self.spark, self.options
         self.coverage.append(ledger.unrecovered_coverage(spark, options.full_fidelity))
-        self._json(reduce(DataFrame.unionByName, self.coverage), "coverage")
+        self._json(union_all(self.coverage), "coverage")
         coverage = spark.read.schema(ledger.COVERAGE).json(self._path("coverage"))
         if options.validate:
             missing = ledger.missing_artifacts(ledger.referenced_artifacts(coverage), self._present())
@@ -256,13 +255,11 @@ def unpack_many(
         return source_id, unpack(spark, options, declared.get(source_id))
 
     alone = any(options.text_encoding in ("WINDOWS_31J", "SHIFT_JIS") for options in sources.values())
-    with ThreadPoolExecutor(1 if alone else parallelism) as pool:
-        return dict(pool.map(one, sources.items()))
+    return dict(side_by_side(one, sources.items(), 1 if alone else parallelism))
 
 
 def labelled(results: Mapping[str, UnpackResult]) -> DataFrame:
     """Coverage of many sources as one ledger, each row with its source."""
-    return reduce(
-        DataFrame.unionByName,
-        [result.coverage.withColumn("source_id", F.lit(source)) for source, result in results.items()],
+    return union_all(
+        result.coverage.withColumn("source_id", F.lit(source)) for source, result in results.items()
     )

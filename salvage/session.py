@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
+
+PARALLEL_JOBS = 8
 
 
 def build_session(app_name: str = "salvage", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for.
 
     Times are rendered in UTC and adaptive execution is on, so that shuffle partitions are sized and
-    skewed join partitions split at run time. Anything in ``conf`` (``spark_sql_x`` for
-    ``spark.sql.x`` is *not* translated: pass the real names with ``**{"spark.sql.x": "1"}``) wins.
+    skewed join partitions split at run time. Settings in ``conf`` win over these.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -43,3 +49,22 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         base = tempfile.mkdtemp(prefix="salvage-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def side_by_side(work: Callable[[Any], Any], items: Iterable[Any], parallelism: int = PARALLEL_JOBS) -> list:
+    """Submit one Spark job per item from a few threads, results in item order.
+
+    For many small tables: one job at a time would leave a cluster waiting for the last task of each.
+    """
+    items = list(items)
+    with ThreadPoolExecutor(max(1, min(parallelism, len(items)))) as pool:
+        return list(pool.map(inheritable_thread_target(work), items))
+
+
+def union_all(frames: Iterable[DataFrame]) -> DataFrame:
+    """Union by name, paired up level by level, so the plan of a thousand tables is ten levels deep."""
+    level = list(frames)
+    while len(level) > 1:
+        pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
+        level = [reduce(DataFrame.unionByName, pair) for pair in pairs]
+    return level[0]
