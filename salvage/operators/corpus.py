@@ -20,17 +20,16 @@ TRANSLATION_NOTE = "SQL translation generated conservatively"
 SUCCESS_BAR = 0.5
 
 _LOWER, _HEAD, _FOUND, _BLANK = "_lower", "_head", "_found", "_blank"
+_CALLS, _WILDCARDS = "_calls", "_wildcards"
 
 
 def _prepared(
-    q: DataFrame, lower: bool = False, blank: bool = False, mode: str | None = None
+    q: DataFrame, lower: bool = False, mode: str | None = None
 ) -> DataFrame:
     """Working columns that several outputs of one row share; dropped again by the callers."""
     work: dict[str, Column] = {}
     if lower:
         work[_LOWER] = sql_text.lowered(F.col("sql"))
-    if blank:
-        work[_BLANK] = sql_text.is_blank(F.col("sql"))
     if mode:
         work[_FOUND] = sql_text.found_sources(F.coalesce(F.col("sql"), F.lit("")), mode)
     prepared = q.withColumns(work)
@@ -39,7 +38,7 @@ def _prepared(
 
 
 def _finished(q: DataFrame) -> DataFrame:
-    return q.drop(_LOWER, _HEAD, _FOUND, _BLANK)
+    return q.drop(_LOWER, _HEAD, _FOUND, _BLANK, _CALLS, _WILDCARDS)
 
 
 def classify_queries(q: DataFrame) -> DataFrame:
@@ -74,17 +73,18 @@ def dependency_edges(q: DataFrame, keys: tuple[str, ...] = (), mode: str = "comp
 
 def translate_queries(q: DataFrame, dialect: str = "ANSI") -> DataFrame:
     """Conservative translation. The dialect decides where the text is filed, not the text."""
-    if dialect.upper() == "NONE":
-        prepared = q.withColumns({_LOWER: F.lit(""), _BLANK: F.lit(True)})
-    else:
-        prepared = _prepared(q, lower=True, blank=True)
-    lower, blank = F.col(_LOWER), F.col(_BLANK)
+    blank = F.lit(True) if dialect.upper() == "NONE" else sql_text.is_blank(F.col("sql"))
+    lower, calls, wildcards = F.col(_LOWER), F.col(_CALLS), F.col(_WILDCARDS)
+    prepared = q.withColumns({_LOWER: sql_text.lowered(F.col("sql")), _BLANK: blank}).withColumns(
+        {_CALLS: sql_text.has_untranslated_calls(lower), _WILDCARDS: sql_text.has_wildcards(lower)}
+    )
+    blank = F.col(_BLANK)
     return _finished(
         prepared.withColumns(
             {
                 "translated": sql_text.translated(F.col("sql"), blank),
-                "confidence": sql_text.confidence(lower, blank),
-                "translation_warnings": sql_text.translation_warnings(lower, blank),
+                "confidence": sql_text.confidence(calls, wildcards, blank),
+                "translation_warnings": sql_text.translation_warnings(calls, wildcards, blank),
             }
         )
     )

@@ -88,42 +88,43 @@ def relationship_coverage(rels: DataFrame) -> DataFrame:
 
 
 def query_coverage(q: DataFrame, dialect: str = "NONE", bar: float = SUCCESS_BAR, mode: str = "compat") -> DataFrame:
-    """A row per query and, with a dialect, a second one for its translation, from a single scan."""
-    sql = F.col("sql")
-    work = q.select("name", "sql").withColumns(
+    """A row per query and, with a dialect, a second one for its translation, from a single scan.
+
+    Rows are doubled before anything is computed: each computes only its own half, and a caller that needs
+    a count or the status alone leaves the rest out of the plan.
+    """
+    sql, translation = F.col("sql"), F.col("_translation")
+    halves = [False] if dialect.upper() == "NONE" else [False, True]
+    rows = q.select("name", "sql", F.explode(F.array(*map(F.lit, halves))).alias("_translation"))
+    lower, blank = F.col("_lower"), F.col("_blank")
+    work = rows.withColumns(
         {
             "_lower": sql_text.lowered(sql),
-            "_blank": sql_text.is_blank(sql),
-            "_found": sql_text.found_sources(F.coalesce(sql, F.lit("")), mode),
+            "_blank": F.when(translation, sql_text.is_blank(sql)),
+            "_found": F.when(~translation, sql_text.found_sources(F.coalesce(sql, F.lit("")), mode)),
         }
+    ).withColumn("_head", F.when(~translation, sql_text.head_of(lower)))
+    confidence = sql_text.confidence(
+        sql_text.has_untranslated_calls(lower), sql_text.has_wildcards(lower), blank
     )
-    facts = work.withColumn("_head", sql_text.head_of(F.col("_lower"))).select(
-        "name",
-        sql_text.query_class(F.col("_head")).alias("_type"),
-        F.to_json(sql_text.dependencies(F.col("_found"))).alias("_dependencies"),
-        sql_text.confidence(F.col("_lower"), F.col("_blank")).alias("_confidence"),
+    facts = work.select(
+        "name", "_translation", "_head", "_found", F.when(translation, confidence).alias("_confidence")
     )
-    entries = [
-        F.struct(
-            F.lit("query").alias("category"),
-            F.lit("SUCCESS").alias("status"),
-            F.lit(QUERY_CONFIDENCE).alias("confidence"),
-            F.lit(QUERY_REASON).alias("reason"),
-            _map(dependencies=F.col("_dependencies"), type=F.col("_type")).alias("details"),
-        )
-    ]
-    if dialect.upper() != "NONE":
-        entries.append(
-            F.struct(
-                F.lit("query-translation").alias("category"),
-                translation_status(F.col("_confidence"), bar).alias("status"),
-                F.col("_confidence").alias("confidence"),
-                F.lit(TRANSLATION_NOTE).alias("reason"),
-                _map(dialect=F.lit(dialect.upper())).alias("details"),
+    return facts.select(
+        F.when(translation, "query-translation").otherwise("query").alias("category"),
+        "name",
+        F.when(translation, translation_status(F.col("_confidence"), bar)).otherwise("SUCCESS").alias("status"),
+        F.when(translation, F.col("_confidence")).otherwise(F.lit(QUERY_CONFIDENCE)).alias("confidence"),
+        F.when(translation, TRANSLATION_NOTE).otherwise(QUERY_REASON).alias("reason"),
+        F.when(translation, _map(dialect=F.lit(dialect.upper())))
+        .otherwise(
+            _map(
+                dependencies=F.to_json(sql_text.dependencies(F.col("_found"))),
+                type=sql_text.query_class(F.col("_head")),
             )
         )
-    exploded = facts.select("name", F.explode(F.array(*entries)).alias("entry"))
-    return exploded.select("name", "entry.*").select(*COVERAGE_COLUMNS)
+        .alias("details"),
+    )
 
 
 def unrecovered_coverage(spark: SparkSession, full_fidelity: str = "AUTO") -> DataFrame:

@@ -77,8 +77,14 @@ class _Run:
     def _path(self, name: str) -> str:
         return f"{self.options.output.rstrip('/')}/{name}"
 
-    def _json(self, df: DataFrame, name: str, *partitions: str) -> None:
-        df.write.mode("overwrite").partitionBy(*partitions).json(self._path(name))
+    def _write(self, *artifacts: tuple) -> None:
+        """Write independent artifacts, each a frame, its place and how it is written, side by side."""
+
+        def write(artifact: tuple) -> None:
+            df, name, kind, *partitions = artifact
+            df.write.mode("overwrite").partitionBy(*partitions).format(kind).save(self._path(name))
+
+        side_by_side(write, artifacts)
 
     def tables(self) -> None:
         options, declared = self.options, self.declared
@@ -119,7 +125,7 @@ class _Run:
                 self.spark, readable, options.output.rstrip("/"), options.formats,
                 options.text_encoding, options.typed_parquet, slugs,
             )
-            self._json(exports, "data-ledger")
+            self._write((exports, "data-ledger", "json"))
             self.diagnostics.append(sinks.export_diagnostics(exports))
         if options.extract_schema:
             self.step = "schema"
@@ -132,20 +138,24 @@ class _Run:
         keys = self.spark.createDataFrame(key_rows, audit.KEYS)
         columns = source_tables.column_inventory(readable)
         schemas = ledger.table_schemas(listing, columns, keys)
-        self._json(schemas, "schema/tables", "slug")
-        self._json(audit.linked_tables(listing), "schema/linked-tables")
-        self._json(audit.system_objects(listing), "schema/system-objects")
+        selected = self.options.selected_tables
+        self._write(
+            (schemas, "schema/tables", "json", "slug"),
+            (audit.linked_tables(listing), "schema/linked-tables", "json"),
+            (audit.system_objects(listing), "schema/system-objects", "json"),
+            (audit.declared_keys(keys, selected), "schema/indexes", "json"),
+        )
 
         self.step = "relationships"
         rel_rows = [
             (r.name, r.from_table, r.to_table, list(r.from_columns), list(r.to_columns), r.cascade_deletes, r.cascade_updates)
             for r in declared.relationships
         ]
-        selected = self.options.selected_tables
         try:
             rels = audit.declared_relationships(self.spark.createDataFrame(rel_rows, audit.RELATIONSHIPS), selected)
-            self._json(rels, "schema/relationships")
-            self._json(audit.constraints(rels), "schema/constraints")
+            self._write(
+                (rels, "schema/relationships", "json"), (audit.constraints(rels), "schema/constraints", "json")
+            )
             self.counted["relationships"] = rels
             self.coverage.append(ledger.relationship_coverage(rels))
         except Exception as error:
@@ -154,7 +164,6 @@ class _Run:
                     self.spark, "RELATIONSHIP_EXTRACTION_PARTIAL", "warning", str(error), "relationship", "*"
                 )
             )
-        self._json(audit.declared_keys(keys, selected), "schema/indexes")
 
     def queries(self) -> None:
         options = self.options
@@ -164,21 +173,22 @@ class _Run:
         chosen = select_objects(self.declared.queries.select("name", "sql"), options.selected_queries)
         models = corpus.query_models(chosen)
         text = models.select("name", "slug", "sql")
-        encode_text(text, "sql", options.text_encoding, "content").drop("sql").write.mode("overwrite").parquet(
-            self._path("queries/raw")
-        )
-        self._json(models, "queries/model")
-        self._json(corpus.dependency_edges(chosen), "queries/dependency-graph")
+        artifacts = [
+            (encode_text(text, "sql", options.text_encoding, "content").drop("sql"), "queries/raw", "parquet"),
+            (models, "queries/model", "json"),
+            (corpus.dependency_edges(chosen), "queries/dependency-graph", "json"),
+        ]
         if options.translate_sql != "NONE":
             translated = corpus.translate_queries(chosen, options.translate_sql)
             written = encode_text(
                 translated.where(F.col("translated").isNotNull()).select("name", "translated"),
                 "translated", options.text_encoding, "content",
             )
-            written.drop("translated").write.mode("overwrite").parquet(
-                self._path(f"queries/translated/{options.translate_sql.lower()}")
+            artifacts.append(
+                (written.drop("translated"), f"queries/translated/{options.translate_sql.lower()}", "parquet")
             )
             self.diagnostics.append(corpus.translation_ledger(translated, options.translate_sql)[0])
+        self._write(*artifacts)
         self.counted["queries"] = chosen
         self.coverage.append(ledger.query_coverage(chosen, options.translate_sql))
 
@@ -206,22 +216,26 @@ class _Run:
     def close(self) -> UnpackResult:
         spark, options = self.spark, self.options
         self.coverage.append(ledger.unrecovered_coverage(spark, options.full_fidelity))
-        self._json(union_all(self.coverage), "coverage")
+        self._write((union_all(self.coverage), "coverage", "json"))
         coverage = spark.read.schema(ledger.COVERAGE).json(self._path("coverage"))
         if options.validate:
             missing = ledger.missing_artifacts(ledger.referenced_artifacts(coverage), self._present())
             self.diagnostics.append(ledger.validation_diagnostics(missing))
         diagnostics = ledger.diagnostics_ledger(*self.diagnostics, stamped=True)
-        self._json(diagnostics, "diagnostics", "severity")
-        written = spark.read.schema(ledger.DIAGNOSTICS + ", timestamp timestamp").json(self._path("diagnostics"))
         counts = ledger.inventory_counts(spark, self.counted)
         made = ledger.manifest(options, counts)
-        self._json(counts, "inventory")
-        self._json(made, "manifest")
+        artifacts = [
+            (diagnostics, "diagnostics", "json", "severity"),
+            (counts, "inventory", "json"),
+            (made, "manifest", "json"),
+        ]
         if options.write_docs:
-            lines = ledger.object_inventory(coverage)
-            lines.write.mode("overwrite").text(self._path("docs/object-inventory"))
-            self._json(ledger.coverage_summary(coverage), "docs/coverage-summary")
+            artifacts += [
+                (ledger.object_inventory(coverage), "docs/object-inventory", "text"),
+                (ledger.coverage_summary(coverage), "docs/coverage-summary", "json"),
+            ]
+        self._write(*artifacts)
+        written = spark.read.schema(ledger.DIAGNOSTICS + ", timestamp timestamp").json(self._path("diagnostics"))
         return UnpackResult(
             options.output,
             coverage,
