@@ -58,7 +58,7 @@ def side_by_side(work: Callable[[Any], Any], items: Iterable[Any], parallelism:
     """
     items = list(items)
     with ThreadPoolExecutor(max(1, min(parallelism, len(items)))) as pool:
-        return list(pool.map(inheritable_thread_target(work), items))
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(work), items))
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:

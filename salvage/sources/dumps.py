@@ -7,8 +7,8 @@ pair, so a listing of millions of files needs no driver loop and no file-system
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,9 +54,11 @@ def dump_catalog(
     """A1: name, extension, size and SHA-256 of every file below ``path``.
 
     Without hashing the file contents are never read. With it, the size filter reaches the file source, so
-    small files are hashed by Spark and only large ones are streamed in chunks by a task each.
+    small files are hashed by Spark and only large ones are streamed in chunks by a task each. Names
+    starting with ``_`` or ``.`` are markers of other jobs and not listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.unionByName(_empty_files(files))
     name = F.substring_index("path", "/", -1)
     facts = [
         F.col("path"),
@@ -74,6 +76,22 @@ def dump_catalog(
     return small.unionByName(large.mapInArrow(_hash_large_files, schema))
 
 
+def _empty_files(files: DataFrame) -> DataFrame:
+    """Files without a byte, which Spark's file sources pass over, as rows of the binary source.
+
+    Only the path list that Spark keeps on the driver for the scan anyway is compared with the scan.
+    """
+    uris = files.sparkSession.createDataFrame([(uri,) for uri in files.inputFiles()], "uri string")
+    decoded = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    listed = uris.select(F.regexp_replace(decoded, "^file:///", "file:/").alias("path"))
+    return listed.join(files.select("path"), "path", "left_anti").select(
+        "path",
+        F.lit(None).cast("timestamp").alias("modificationTime"),
+        F.lit(0).cast("bigint").alias("length"),
+        F.lit(b"").alias("content"),
+    )
+
+
 def _hash_large_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
@@ -81,7 +99,9 @@ def _hash_large_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         digests = []
         for uri in batch.column("path").to_pylist():
             digest = hashlib.sha256()
-            system, location = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+            scheme, _, rest = uri.partition(":")
+            rest = rest if rest.startswith("//") else "//" + rest
+            system, location = fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
             with system.open_input_stream(location) as stream:
                 while chunk := stream.read(_CHUNK):
                     digest.update(chunk)
