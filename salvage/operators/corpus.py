@@ -139,9 +139,10 @@ def query_models(
 def sql_workbench(q: DataFrame, dialect: str = "ANSI", keys: tuple[str, ...] = ()) -> DataFrame:
     """Original and translated text side by side, sorted by name.
 
-    The keys break ties, so many queries of one name still spread over the sorted partitions.
+    The keys break ties, so many queries of one name still spread over the sorted partitions. Sorting comes
+    first: it samples its input, which would otherwise translate every text twice.
     """
-    side_by_side = translate_queries(q.select(*keys, "name", "sql"), dialect).select(
+    return translate_queries(_by_name(q, keys), dialect).select(
         *keys,
         "name",
         F.when(sql_text.is_blank(F.col("sql")), EMPTY_SQL).otherwise(F.col("sql")).alias("raw"),
@@ -149,7 +150,10 @@ def sql_workbench(q: DataFrame, dialect: str = "ANSI", keys: tuple[str, ...] = (
         "confidence",
         F.col("translation_warnings").alias("warnings"),
     )
-    return side_by_side.orderBy(F.lower("name"), "name", *keys)
+
+
+def _by_name(q: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return q.select(*keys, "name", "sql").orderBy(F.lower("name"), "name", *keys)
 
 
 def parameter_count(sql: Column) -> Column:
@@ -160,8 +164,7 @@ def parameter_count(sql: Column) -> Column:
 
 def query_inventory(q: DataFrame, keys: tuple[str, ...] = (), ascii_names: bool = False) -> DataFrame:
     """The saved queries, sorted by name without case."""
-    prepared = _prepared(q.select(*keys, "name", "sql"), lower=True)
-    listing = prepared.select(
+    return _prepared(_by_name(q, keys), lower=True).select(
         *keys,
         "name",
         slug(F.col("name"), ascii_names).alias("slug"),
@@ -169,4 +172,3 @@ def query_inventory(q: DataFrame, keys: tuple[str, ...] = (), ascii_names: bool
         parameter_count(F.coalesce("sql", F.lit(""))).alias("parameter_count"),
         F.coalesce("sql", F.lit("")).alias("sql"),
     )
-    return listing.orderBy(F.lower("name"), "name", *keys)

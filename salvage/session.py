@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from functools import cache, reduce
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -37,17 +37,23 @@ def build_session(app_name: str = "salvage", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+@cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="salvage-", ignore_cleanup_errors=True)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name for intermediate tables, under the shared folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session. Only a local session without that setting gets a
-    temporary folder of this machine; on a cluster its executors could not see it, so that is an error.
+    temporary folder of this machine, which ends with the process; on a cluster the executors could not see
+    such a folder, so there the missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="salvage-")
+        base = _local_folder().name
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
