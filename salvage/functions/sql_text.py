@@ -61,11 +61,12 @@ _BLANK_TEXT = r"^[\s\x1c-\x1f\p{Z}&&[^\u00a0\u2007\u202f]]*$"
 _CONTROLS = "".join(map(chr, range(0x21)))
 
 
-def _any_of(text: Column, needles: tuple[str, ...]) -> Column:
-    found = text.contains(needles[0])
-    for needle in needles[1:]:
-        found = found | text.contains(needle)
-    return found
+def _calls_any(text: Column, calls: tuple[str, ...]) -> Column:
+    # All of them hold a bracket; a text without one is not searched for each.
+    found = text.contains(calls[0])
+    for call in calls[1:]:
+        found = found | text.contains(call)
+    return text.contains("(") & found
 
 
 def _texts(*pairs: tuple[Column, str]) -> Column:
@@ -95,8 +96,8 @@ def query_class(head: Column) -> Column:
 
 def dialect_warnings(lower: Column) -> Column:
     return _texts(
-        (_any_of(lower, CONDITIONALS), WARN_CONDITIONAL),
-        (_any_of(lower, DOMAIN_AGGREGATES), WARN_DOMAIN),
+        (_calls_any(lower, CONDITIONALS), WARN_CONDITIONAL),
+        (_calls_any(lower, DOMAIN_AGGREGATES), WARN_DOMAIN),
         (lower.contains(DATE_MARK), WARN_DATE),
         (has_wildcards(lower), WARN_WILDCARD),
     )
@@ -134,7 +135,7 @@ def translated(sql: Column, blank: Column) -> Column:
 
 
 def has_untranslated_calls(lower: Column) -> Column:
-    return _any_of(lower, UNTRANSLATED_CALLS)
+    return _calls_any(lower, UNTRANSLATED_CALLS)
 
 
 def has_wildcards(lower: Column) -> Column:

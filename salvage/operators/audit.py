@@ -161,7 +161,9 @@ def property_rows(props: DataFrame, ordered: bool = False) -> DataFrame:
     ``ordered`` sorts them by source, scope and key; the value breaks ties, so one source can fill several
     sorted partitions.
     """
-    rows = normalize_values(props.select("source", "scope", "props")).select(
-        "source", "scope", F.explode("props").alias("key", "value")
+    rows = (
+        normalize_values(props.select("source", "scope", "props"))
+        .select("source", "scope", F.explode_outer("props").alias("key", "value"))
+        .where(F.col("key").isNotNull())
     )
     return rows.orderBy("source", "scope", "key", "value") if ordered else rows

@@ -3,6 +3,9 @@
 Input is any DataFrame with ``name`` and ``sql`` columns; further columns, such as the key of the source
 a query came from, are carried along. All but the sorted listings are one projection: no shuffle, and
 usable on a stream as they are.
+
+Arrays are exploded with ``explode_outer`` and a filter behind it. A plain ``explode`` makes Spark filter out
+empty arrays first, and to do so it would mine every text a second time.
 """
 
 from __future__ import annotations
@@ -63,12 +66,13 @@ def query_dependencies(q: DataFrame, mode: str = "compat") -> DataFrame:
 def dependency_edges(q: DataFrame, keys: tuple[str, ...] = (), mode: str = "compat") -> DataFrame:
     """One row per query and table it names."""
     needed = q.select(*keys, "name", "sql")
-    return query_dependencies(needed, mode).select(
+    edges = query_dependencies(needed, mode).select(
         *keys,
         F.col("name").alias("from"),
-        F.explode("dependencies").alias("to"),
+        F.explode_outer("dependencies").alias("to"),
         F.lit(DEPENDS_ON).alias("type"),
     )
+    return edges.where(F.col("to").isNotNull())
 
 
 def translate_queries(q: DataFrame, dialect: str = "ANSI") -> DataFrame:
@@ -102,11 +106,11 @@ def translation_ledger(
         *keys,
         F.lit("QUERY_TRANSLATION_WARNING").alias("code"),
         F.lit("warning").alias("severity"),
-        F.explode("translation_warnings").alias("message"),
+        F.explode_outer("translation_warnings").alias("message"),
         F.lit("query").alias("object_type"),
         F.col("name").alias("object_name"),
         F.create_map().cast("map<string,string>").alias("details"),
-    )
+    ).where(F.col("message").isNotNull())
     coverage = translated.select(
         *keys,
         F.lit("query-translation").alias("category"),

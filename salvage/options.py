@@ -40,6 +40,7 @@ class UnpackOptions:
     selected_tables: Selection = None
     selected_queries: Selection = None
     typed_parquet: bool = False
+    parallel_jobs: int = 8
 
     def __post_init__(self) -> None:
         for field, allowed in (

@@ -302,7 +302,7 @@ def query_types(spark, sf):
 @query
 def query_warnings(spark, sf):
     found = corpus.dialect_warnings(shape(spark, sf, "saved_queries"))
-    return found.select("query_id", F.explode("warnings").alias("warning"))
+    return found.select("query_id", F.explode_outer("warnings").alias("warning")).where("warning IS NOT NULL")
 
 
 @query

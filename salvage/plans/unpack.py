@@ -84,7 +84,7 @@ class _Run:
             df, name, kind, *partitions = artifact
             df.write.mode("overwrite").partitionBy(*partitions).format(kind).save(self._path(name))
 
-        side_by_side(write, artifacts)
+        side_by_side(write, artifacts, self.options.parallel_jobs)
 
     def tables(self) -> None:
         options, declared = self.options, self.declared
@@ -123,7 +123,7 @@ class _Run:
             self.step = "data"
             exports = sinks.export_tables(
                 self.spark, readable, options.output.rstrip("/"), options.formats,
-                options.text_encoding, options.typed_parquet, slugs,
+                options.text_encoding, options.typed_parquet, slugs, options.parallel_jobs,
             )
             self._write((exports, "data-ledger", "json"))
             self.diagnostics.append(sinks.export_diagnostics(exports))
