@@ -142,17 +142,19 @@ def audit_relationships(tables: Mapping[str, DataFrame], rels: Iterable[Relation
     )
 
 
-def linked_tables(inventory: DataFrame, properties: DataFrame | None = None) -> DataFrame:
+def linked_tables(
+    inventory: DataFrame, properties: DataFrame | None = None, keys: tuple[str, ...] = ()
+) -> DataFrame:
     """Tables that live in another file; ``properties`` adds a ``properties`` map by table name."""
-    listing = inventory.where("linked").select("name", F.lit("linked").alias("type"))
+    listing = inventory.where("linked").select(*keys, "name", F.lit("linked").alias("type"))
     if properties is None:
         return listing.withColumn("properties", F.create_map().cast("map<string,string>"))
-    return listing.join(properties.select("name", "properties"), "name", "left")
+    return listing.join(properties.select(*keys, "name", "properties"), [*keys, "name"], "left")
 
 
-def system_objects(inventory: DataFrame) -> DataFrame:
+def system_objects(inventory: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The system tables among the listed ones."""
-    return inventory.where("system_object").select("name", F.lit("table").alias("type"))
+    return inventory.where("system_object").select(*keys, "name", F.lit("table").alias("type"))
 
 
 def property_rows(props: DataFrame, ordered: bool = False) -> DataFrame:

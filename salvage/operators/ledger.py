@@ -1,4 +1,8 @@
-"""What was recovered and what was not."""
+"""What was recovered and what was not.
+
+``keys`` names columns, such as the source a row comes from, that a function carries through to its result.
+With them one ledger covers a whole lake in the same jobs as it covers one source.
+"""
 
 from __future__ import annotations
 
@@ -43,12 +47,17 @@ def _map(**entries: Column) -> Column:
     return F.create_map(*[part for name, value in entries.items() for part in (F.lit(name), value)])
 
 
-def table_coverage(inventory: DataFrame, exports: DataFrame | None = None, with_schema: bool = True) -> DataFrame:
+def table_coverage(
+    inventory: DataFrame,
+    exports: DataFrame | None = None,
+    with_schema: bool = True,
+    keys: tuple[str, ...] = (),
+) -> DataFrame:
     """A row per table. A table with a failed export, or one that cannot be counted, is not a success."""
     failed = F.lit(False)
     if exports is not None:
-        bad = exports.where(F.col("status") != "SUCCESS").select(F.col("table").alias("name")).distinct()
-        inventory = inventory.join(bad.withColumn("_failed", F.lit(True)), "name", "left")
+        bad = exports.where(F.col("status") != "SUCCESS").select(*keys, F.col("table").alias("name")).distinct()
+        inventory = inventory.join(bad.withColumn("_failed", F.lit(True)), [*keys, "name"], "left")
         failed = F.coalesce("_failed", F.lit(False))
     unreadable = F.col("row_count") < 0
     details = {
@@ -59,6 +68,7 @@ def table_coverage(inventory: DataFrame, exports: DataFrame | None = None, with_
     if with_schema:
         details["schemaPath"] = F.concat(F.lit("schema/tables/slug="), F.col("slug"))
     return inventory.select(
+        *keys,
         F.lit("table").alias("category"),
         "name",
         F.when(unreadable, "FAILED").when(failed, "PARTIAL").otherwise("SUCCESS").alias("status"),
@@ -71,8 +81,9 @@ def table_coverage(inventory: DataFrame, exports: DataFrame | None = None, with_
     )
 
 
-def relationship_coverage(rels: DataFrame) -> DataFrame:
+def relationship_coverage(rels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return rels.select(
+        *keys,
         F.lit("relationship").alias("category"),
         "name",
         F.lit("SUCCESS").alias("status"),
@@ -87,7 +98,13 @@ def relationship_coverage(rels: DataFrame) -> DataFrame:
     )
 
 
-def query_coverage(q: DataFrame, dialect: str = "NONE", bar: float = SUCCESS_BAR, mode: str = "compat") -> DataFrame:
+def query_coverage(
+    q: DataFrame,
+    dialect: str = "NONE",
+    bar: float = SUCCESS_BAR,
+    mode: str = "compat",
+    keys: tuple[str, ...] = (),
+) -> DataFrame:
     """A row per query and, with a dialect, a second one for its translation, from a single scan.
 
     Rows are doubled before anything is computed: each computes only its own half, and a caller that needs
@@ -95,7 +112,7 @@ def query_coverage(q: DataFrame, dialect: str = "NONE", bar: float = SUCCESS_BAR
     """
     sql, translation = F.col("sql"), F.col("_translation")
     halves = [False] if dialect.upper() == "NONE" else [False, True]
-    rows = q.select("name", "sql", F.explode(F.array(*map(F.lit, halves))).alias("_translation"))
+    rows = q.select(*keys, "name", "sql", F.explode(F.array(*map(F.lit, halves))).alias("_translation"))
     lower, blank = F.col("_lower"), F.col("_blank")
     work = rows.withColumns(
         {
@@ -108,9 +125,10 @@ def query_coverage(q: DataFrame, dialect: str = "NONE", bar: float = SUCCESS_BAR
         sql_text.has_untranslated_calls(lower), sql_text.has_wildcards(lower), blank
     )
     facts = work.select(
-        "name", "_translation", "_head", "_found", F.when(translation, confidence).alias("_confidence")
+        *keys, "name", "_translation", "_head", "_found", F.when(translation, confidence).alias("_confidence")
     )
     return facts.select(
+        *keys,
         F.when(translation, "query-translation").otherwise("query").alias("category"),
         "name",
         F.when(translation, translation_status(F.col("_confidence"), bar)).otherwise("SUCCESS").alias("status"),
@@ -134,6 +152,21 @@ def unrecovered_coverage(spark: SparkSession, full_fidelity: str = "AUTO") -> Da
     return spark.createDataFrame(rows, COVERAGE)
 
 
+def unrecovered_in_each(sources: DataFrame, keys: tuple[str, ...], full_fidelity: str = "AUTO") -> DataFrame:
+    """The same rows for every source of a listing."""
+    reason = HELPER_OFF if full_fidelity == "OFF" else HELPER_MISSING
+    kinds = F.explode(F.array(*map(F.lit, UNRECOVERED)))
+    return sources.select(*keys).distinct().select(
+        *keys,
+        kinds.alias("category"),
+        F.lit("*").alias("name"),
+        F.lit("UNSUPPORTED").alias("status"),
+        F.lit(0.0).alias("confidence"),
+        F.lit(reason).alias("reason"),
+        F.create_map().cast("map<string,string>").alias("details"),
+    )
+
+
 def failed_database(spark: SparkSession, name: str, error: str) -> DataFrame:
     return spark.createDataFrame(
         [("database", name, "FAILED", 0.0, DATABASE_REASON, {"exception": error})], COVERAGE
@@ -149,24 +182,29 @@ def coverage_ledger(
     exports: DataFrame | None = None,
     full_fidelity: str = "AUTO",
     with_schema: bool = True,
+    keys: tuple[str, ...] = (),
+    sources: DataFrame | None = None,
 ) -> DataFrame:
-    """one row per object of a source."""
+    """one row per object of a source, or with ``keys`` and a listing of ``sources``, of all of them."""
     parts = []
     if inventory is not None:
-        parts.append(table_coverage(inventory, exports, with_schema))
+        parts.append(table_coverage(inventory, exports, with_schema, keys))
     if relationships is not None:
-        parts.append(relationship_coverage(relationships))
+        parts.append(relationship_coverage(relationships, keys))
     if queries is not None:
-        parts.append(query_coverage(queries, dialect))
-    parts.append(unrecovered_coverage(spark, full_fidelity))
+        parts.append(query_coverage(queries, dialect, keys=keys))
+    if sources is None:
+        parts.append(unrecovered_coverage(spark, full_fidelity))
+    else:
+        parts.append(unrecovered_in_each(sources, keys, full_fidelity))
     return union_all(parts)
 
 
-def coverage_summary(coverage: DataFrame) -> DataFrame:
-    """entries per status, and ``total``. Only the few counts are rolled up, not the entries."""
-    counts = coverage.groupBy(F.lower("status").alias("status")).agg(F.count(F.lit(1)).alias("_n"))
-    both = counts.rollup("status").agg(F.grouping("status").alias("_all"), F.sum("_n").alias("n"))
-    return both.select(F.when(F.col("_all") == 1, "total").otherwise(F.col("status")).alias("status"), "n")
+def coverage_summary(coverage: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """entries per status, and ``total``. Only the few counts are doubled for it, not the entries."""
+    counts = coverage.groupBy(*keys, F.lower("status").alias("status")).agg(F.count(F.lit(1)).alias("_n"))
+    both = counts.select(*keys, F.explode(F.array("status", F.lit("total"))).alias("status"), "_n")
+    return both.groupBy(*keys, "status").agg(F.sum("_n").alias("n"))
 
 
 def diagnostics_ledger(*parts: DataFrame, stamped: bool = False) -> DataFrame:
@@ -203,18 +241,17 @@ def inventory_counts(
     return union_all([*parts, zeros])
 
 
-def referenced_artifacts(coverage: DataFrame) -> DataFrame:
+def referenced_artifacts(coverage: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Artifacts that coverage entries say were written."""
-    return (
-        coverage.where(F.col("details")["schemaPath"].isNotNull())
-        .select("category", "name", F.col("details")["schemaPath"].alias("path"))
-    )
+    path = F.col("details")["schemaPath"]
+    return coverage.where(path.isNotNull()).select(*keys, "category", "name", path.alias("path"))
 
 
-def missing_artifacts(referenced: DataFrame, present: DataFrame) -> DataFrame:
-    """references whose ``path`` is not among the ``path`` values of the listing."""
-    return referenced.join(present.select("path").distinct(), "path", "left_anti").select(
-        "category", "name", "path"
+def missing_artifacts(referenced: DataFrame, present: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """references whose ``path`` is not among the ``path`` values of the listing, per source with ``keys``."""
+    place = [*keys, "path"]
+    return referenced.join(present.select(*place).distinct(), place, "left_anti").select(
+        *keys, "category", "name", "path"
     )
 
 

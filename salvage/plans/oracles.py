@@ -358,6 +358,14 @@ FROM lake_relationships""",
     "coverage_ledger": f"{_with('lake_tables', 'lake_relationships', 'saved_queries')}, {COVERAGE} SELECT * FROM coverage",
     "coverage_summary": f"""{_with('lake_tables', 'lake_relationships', 'saved_queries')}, {COVERAGE}
 SELECT lower(status) AS status, count(*) AS n FROM coverage GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM coverage""",
+    "lake_coverage": f"""{_with('lake_tables', 'saved_queries')}, entries AS (
+SELECT source_id, CASE WHEN row_count < 0 THEN 'failed' ELSE 'success' END AS status FROM lake_tables
+UNION ALL SELECT 'db' || CAST((query_id % 100 + 100) % 100 AS VARCHAR), unnest(['success',
+CASE WHEN {CONFIDENCE} >= 0.5 THEN 'success' ELSE 'partial' END]) FROM saved_queries
+UNION ALL SELECT source_id, unnest(['unsupported', 'unsupported', 'unsupported', 'unsupported'])
+FROM (SELECT DISTINCT source_id FROM lake_tables))
+SELECT source_id, status, count(*) AS n FROM entries GROUP BY 1, 2
+UNION ALL SELECT source_id, 'total', count(*) FROM entries GROUP BY 1""",
     "diagnostics_ledger": f"""{_with('dump_files', 'links', 'saved_queries', 'lake_tables')}, {RESOLVED}, {MISSING}, {DIAGNOSTICS}
 SELECT * FROM diagnostics""",
     "inventory_counts": f"""{_with('lake_tables', 'saved_queries', 'lake_relationships')}

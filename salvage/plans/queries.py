@@ -456,6 +456,22 @@ def coverage_summary(spark, sf):
     return ledger.coverage_summary(_coverage(spark, sf))
 
 
+@query
+def lake_coverage(spark, sf):
+    """Coverage of every source of a lake at once, summed up per source."""
+    of_source = F.concat(F.lit("db"), F.pmod("query_id", F.lit(100)).cast("string")).alias("source_id")
+    inventory = shape(spark, sf, "lake_tables")
+    coverage = ledger.coverage_ledger(
+        spark,
+        inventory,
+        queries=shape(spark, sf, "saved_queries").select(of_source, "name", "sql"),
+        dialect=DIALECT,
+        keys=("source_id",),
+        sources=inventory,
+    )
+    return ledger.coverage_summary(coverage, ("source_id",))
+
+
 @query
 def diagnostics_ledger(spark, sf):
     details = F.col("details")

@@ -185,7 +185,7 @@ def resolve_links(links: DataFrame, files: DataFrame, compat: bool = False) -> D
     )
 
 
-def link_diagnostics(resolved: DataFrame, compat: bool = False) -> DataFrame:
+def link_diagnostics(resolved: DataFrame, compat: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """A warning per remapped link and an error per unresolved one."""
     remapped = F.col("resolution") == "remapped"
     details = F.when(
@@ -195,6 +195,7 @@ def link_diagnostics(resolved: DataFrame, compat: bool = False) -> DataFrame:
         ),
     ).otherwise(F.create_map(F.lit("linkedPathHint"), F.col("linked_path")))
     return resolved.where(F.col("resolution") != "direct").select(
+        *keys,
         F.when(remapped, "LINKED_DB_REMAP").otherwise("DATABASE_OPEN_FAILED").alias("code"),
         F.when(remapped, "warning").otherwise("error").alias("severity"),
         F.when(remapped, REMAPPED).otherwise(F.concat(F.lit(UNRESOLVED), F.col("linked_path"))).alias("message"),

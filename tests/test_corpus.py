@@ -160,6 +160,15 @@ def test_model_carries_keys_and_everything_else(spark):
     }
 
 
+def test_exploding_mines_each_text_once(spark, tmp_path):
+    spark.createDataFrame([("q", "select 1 from a")], "name string, sql string").write.parquet(str(tmp_path / "q"))
+    df = spark.read.parquet(str(tmp_path / "q"))
+    edges = corpus.dependency_edges(df)._jdf.queryExecution().executedPlan().toString()
+    assert edges.count("regexp_extract_all") == 1
+    found = corpus.translation_ledger(corpus.translate_queries(df), "ANSI")[0]
+    assert found._jdf.queryExecution().executedPlan().toString().count("dlookup(") == 1
+
+
 def test_mining_needs_no_shuffle_and_no_python(spark):
     df = spark.createDataFrame([("q", "select 1")], "name string, sql string")
     plans = [

@@ -86,6 +86,22 @@ def test_missing_artifacts(spark):
     assert ledger.validation_diagnostics(missing.where("name = 'z'")).isEmpty()
 
 
+def test_sources_keep_apart(spark):
+    inventory = spark.createDataFrame(
+        [("s", "a", "a", 1), ("t", "a", "a", 1)], "source_id string, name string, slug string, row_count bigint"
+    )
+    exports = spark.createDataFrame([("t", "a", "PARTIAL")], "source_id string, table string, status string")
+    coverage = ledger.coverage_ledger(spark, inventory, exports=exports, keys=("source_id",), sources=inventory)
+    got = {(r["source_id"], r["status"]): r["n"] for r in ledger.coverage_summary(coverage, ("source_id",)).collect()}
+    assert got == {
+        ("s", "success"): 1, ("s", "unsupported"): 4, ("s", "total"): 5,
+        ("t", "partial"): 1, ("t", "unsupported"): 4, ("t", "total"): 5,
+    }
+    present = spark.createDataFrame([("s", "schema/tables/slug=a")], "source_id string, path string")
+    missing = ledger.missing_artifacts(ledger.referenced_artifacts(coverage, ("source_id",)), present, ("source_id",))
+    assert [r["source_id"] for r in missing.collect()] == ["t"]
+
+
 def test_full_fidelity_cannot_be_served(spark):
     assert ledger.fidelity_diagnostics(spark, "ON").first()["code"] == "FULL_FIDELITY_UNAVAILABLE"
     assert ledger.fidelity_diagnostics(spark, "AUTO").isEmpty()
