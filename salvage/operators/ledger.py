@@ -15,7 +15,7 @@ from salvage.functions import sql_text
 from salvage.operators.corpus import SUCCESS_BAR, TRANSLATION_NOTE, translation_status
 from salvage.operators.skew import lookup_join
 from salvage.options import UnpackOptions
-from salvage.session import union_all
+from salvage.session import local_rows, union_all
 
 COVERAGE = "category string, name string, status string, confidence double, reason string, details map<string,string>"
 DIAGNOSTICS = (
@@ -149,7 +149,7 @@ def unrecovered_coverage(spark: SparkSession, full_fidelity: str = "AUTO") -> Da
     """The kinds of object that file parsing alone never recovers."""
     reason = HELPER_OFF if full_fidelity == "OFF" else HELPER_MISSING
     rows = [(kind, "*", "UNSUPPORTED", 0.0, reason, {}) for kind in UNRECOVERED]
-    return spark.createDataFrame(rows, COVERAGE)
+    return local_rows(spark, rows, COVERAGE)
 
 
 def unrecovered_in_each(sources: DataFrame, keys: tuple[str, ...], full_fidelity: str = "AUTO") -> DataFrame:
@@ -168,9 +168,7 @@ def unrecovered_in_each(sources: DataFrame, keys: tuple[str, ...], full_fidelity
 
 
 def failed_database(spark: SparkSession, name: str, error: str) -> DataFrame:
-    return spark.createDataFrame(
-        [("database", name, "FAILED", 0.0, DATABASE_REASON, {"exception": error})], COVERAGE
-    )
+    return local_rows(spark, [("database", name, "FAILED", 0.0, DATABASE_REASON, {"exception": error})], COVERAGE)
 
 
 def coverage_ledger(
@@ -220,16 +218,17 @@ def fidelity_diagnostics(spark: SparkSession, full_fidelity: str) -> DataFrame:
         if full_fidelity == "ON"
         else []
     )
-    return spark.createDataFrame(rows, DIAGNOSTICS)
+    return local_rows(spark, rows, DIAGNOSTICS)
 
 
-def diagnostic(spark: SparkSession, code: str, severity: str, message: str | None, kind: str, name: str, **details: str) -> DataFrame:
-    return spark.createDataFrame([(code, severity, message, kind, name, details)], DIAGNOSTICS)
+def diagnostic(
+    spark: SparkSession, code: str, severity: str, message: str, kind: str, name: str, **details: str
+) -> DataFrame:
+    """One row of the diagnostics ledger."""
+    return local_rows(spark, [(code, severity, message, kind, name, details)], DIAGNOSTICS)
 
 
-def inventory_counts(
-    spark: SparkSession, counted: Mapping[str, DataFrame | None]
-) -> DataFrame:
+def inventory_counts(spark: SparkSession, counted: Mapping[str, DataFrame | None]) -> DataFrame:
     """objects by kind; kinds that are never recovered stay at zero."""
     parts = []
     for kind in COUNTED_KINDS:
@@ -237,7 +236,7 @@ def inventory_counts(
         if rows is not None:
             parts.append(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n"))
     absent = [kind for kind in COUNTED_KINDS if counted.get(kind) is None]
-    zeros = spark.createDataFrame([(kind, 0) for kind in (*absent, *UNCOUNTED_KINDS)], "kind string, n bigint")
+    zeros = local_rows(spark, [(kind, 0) for kind in (*absent, *UNCOUNTED_KINDS)], "kind string, n bigint")
     return union_all([*parts, zeros])
 
 

@@ -12,7 +12,7 @@ from salvage.functions.names import distinct_slugs, safe_columns
 from salvage.functions.text import BOM, CHARSETS, WIDE_CHARSET_SETTINGS, wide_charsets
 from salvage.functions.values import normalize_values, sorted_keys, stringify
 from salvage.options import FORMATS
-from salvage.session import PARALLEL_JOBS, side_by_side
+from salvage.session import PARALLEL_JOBS, local_rows, side_by_side
 from salvage.sources.dumps import dump_catalog
 from salvage.sources.tables import by_name
 
@@ -125,14 +125,13 @@ def export_tables(
     # A charset outside the standard ones is a session setting while its write is planned: one at a time.
     alone = CHARSETS[encoding][0] != "UTF-8"
     rows = side_by_side(export, tasks, 1 if alone else parallelism)
-    return spark.createDataFrame(rows, LEDGER)
+    return local_rows(spark, rows, LEDGER)
 
 
 def _write_sidecar(spark: SparkSession, path: str, slug: str, reason: str) -> None:
     row = [("partial", reason, f"data/{slug}.json")]
-    spark.createDataFrame(row, "status string, reason string, rawSourceHint string").coalesce(
-        1
-    ).write.mode("overwrite").json(path)
+    sidecar = local_rows(spark, row, "status string, reason string, rawSourceHint string")
+    sidecar.coalesce(1).write.mode("overwrite").json(path)
 
 
 def export_diagnostics(ledger: DataFrame) -> DataFrame:

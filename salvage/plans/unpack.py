@@ -13,7 +13,7 @@ from salvage.functions.text import encode_text
 from salvage.operators import audit, corpus, ledger, sinks
 from salvage.operators.scope import select_objects
 from salvage.options import UnpackOptions
-from salvage.session import side_by_side, union_all
+from salvage.session import local_rows, side_by_side, union_all
 from salvage.sources import tables as source_tables
 from salvage.sources.dumps import STALE_ON_OPEN, stale_link_hints
 
@@ -93,12 +93,14 @@ class _Run:
         failures: dict[str, str] = {}
         tables = source_tables.load_tables(self.spark, options.input, options.selected_tables, failures)
         if not options.include_system_objects:
-            tables = {name: df for name, df in tables.items() if name not in set(declared.system)}
-        rows, broken = source_tables.readable_tables(tables)
+            tables = {name: df for name, df in tables.items() if name not in declared.system}
+            failures = {name: why for name, why in failures.items() if name not in declared.system}
+        rows, broken = source_tables.readable_tables(tables, options.parallel_jobs)
         failures.update(broken)
         readable = {name: tables[name] for name in rows}
         slugs = distinct_slugs([*rows, *failures])
-        listing = self.spark.createDataFrame(
+        listing = local_rows(
+            self.spark,
             [
                 (
                     name,
@@ -135,7 +137,7 @@ class _Run:
     def _schema(self, readable: Mapping[str, DataFrame], listing: DataFrame) -> None:
         declared = self.declared
         key_rows = [(k.table, k.name, k.primary_key, k.unique, list(k.columns)) for k in declared.keys]
-        keys = self.spark.createDataFrame(key_rows, audit.KEYS)
+        keys = local_rows(self.spark, key_rows, audit.KEYS)
         columns = source_tables.column_inventory(readable)
         schemas = ledger.table_schemas(listing, columns, keys)
         selected = self.options.selected_tables
@@ -152,7 +154,7 @@ class _Run:
             for r in declared.relationships
         ]
         try:
-            rels = audit.declared_relationships(self.spark.createDataFrame(rel_rows, audit.RELATIONSHIPS), selected)
+            rels = audit.declared_relationships(local_rows(self.spark, rel_rows, audit.RELATIONSHIPS), selected)
             self._write(
                 (rels, "schema/relationships", "json"), (audit.constraints(rels), "schema/constraints", "json")
             )
@@ -195,7 +197,7 @@ class _Run:
     def failed(self, error: Exception) -> None:
         name = self.options.input.rstrip("/").rsplit("/", 1)[-1]
         message = str(error) or type(error).__name__
-        hint = stale_link_hints(self.spark.createDataFrame([(message,)], "message string")).first()
+        hint = stale_link_hints(local_rows(self.spark, [(message,)], "message string")).first()
         if hint["is_stale_windows_path"]:
             self.diagnostics.append(
                 ledger.diagnostic(
@@ -247,7 +249,7 @@ class _Run:
     def _present(self) -> DataFrame:
         """Folders below the output that hold a part file, relative to it."""
         if not self.options.extract_schema or "tables" not in self.counted:
-            return self.spark.createDataFrame([], "path string")
+            return local_rows(self.spark, [], "path string")
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
             self._path("schema/tables")
         )

@@ -9,8 +9,11 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import cache, reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 PARALLEL_JOBS = 8
 
@@ -57,6 +60,17 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def local_rows(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """Rows the driver already holds, as a relation of the plan: no job and no Python worker to read them."""
+    kind = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) or [()] * len(kind)
+    arrays = [
+        pa.array([list(v.items()) if isinstance(v, dict) else v for v in values], to_arrow_type(field.dataType))
+        for field, values in zip(kind, columns)
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=kind.names), kind)
+
+
 def side_by_side(work: Callable[[Any], Any], items: Iterable[Any], parallelism: int = PARALLEL_JOBS) -> list:
     """Submit one Spark job per item from a few threads, results in item order.
 
