@@ -150,7 +150,10 @@ class _Run:
 
         self.step = "relationships"
         rel_rows = [
-            (r.name, r.from_table, r.to_table, list(r.from_columns), list(r.to_columns), r.cascade_deletes, r.cascade_updates)
+            (
+                r.name, r.from_table, r.to_table, list(r.from_columns), list(r.to_columns),
+                r.cascade_deletes, r.cascade_updates,
+            )
             for r in declared.relationships
         ]
         try:
