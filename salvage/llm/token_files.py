@@ -54,7 +54,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: ``doc_id, start, n_tokens, ids_crc32``, all from the decoded sections.
 
     ``start`` counts the ids of all documents before it: section sizes are summed over files, then inside a file,
-    then inside a section, so that no task sees more than a section. A damaged section fails the task.
+    then inside a section, so that no task sees more than a section. Sections are decoded where they are read; only the
+    numbers they yield meet the sums. A damaged section fails the task.
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,9 +71,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": doc_ids,
-                        "start": pa.array(ends - lengths + batch.column("first")[row].as_py()),
+                        "inside": pa.array(ends - lengths),
                         "n_tokens": pa.array(lengths),
                         "ids_crc32": pa.array(crcs, pa.int64()),
+                        "part": pa.array(np.full(len(lengths), batch.column("part")[row].as_py(), np.int32)),
+                        "seq": pa.array(np.full(len(lengths), batch.column("seq")[row].as_py(), np.int32)),
                     }
                 )
 
@@ -81,16 +84,18 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     # One row per file.
-    files_first = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("file_first"))
+    by_file = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    by_file = by_file.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("file_first"))
     firsts = (
         sizes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-        .join(files_first, "part")
+        .join(by_file, "part")
         .select("part", "seq", (F.col("file_first") + F.col("inside")).alias("first"))
     )
-    return (
-        files.join(firsts, ["part", "seq"])
-        .select("doc_ids", "lengths", "section", "first")
-        .mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    read = files.select("doc_ids", "lengths", "section", "part", "seq").mapInArrow(
+        work, "doc_id long, inside long, n_tokens long, ids_crc32 long, part int, seq int"
+    )
+    return read.join(firsts, ["part", "seq"]).select(
+        "doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
