@@ -26,7 +26,9 @@ from salvage.llm.common import documents, fold, one_array, pieces, ragged, strin
 
 # Bytes of context; at most 6, so that a context and what follows it fit a long.
 ORDER = 5
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
+# Bytes of a bucket that are turned into numbers at once.
+_AT_ONCE = 4 << 20
 _END = 0xFF
 
 
@@ -41,8 +43,9 @@ def grams(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     padded = np.full(len(raw) + n * (order + 1), _END, np.uint8)
     padded[ragged(starts, sizes)] = raw
     codes = np.zeros(max(0, len(padded) - order), np.int64)
-    for back in range(order + 1):
-        codes |= padded[order - back : len(padded) - back].astype(np.int64) << (8 * back)
+    for at in range(order + 1):
+        np.left_shift(codes, 8, out=codes)
+        np.bitwise_or(codes, padded[at : at + len(codes)], out=codes)
     return codes[ragged(starts - order, sizes + 1)], sizes + 1
 
 
@@ -181,7 +184,7 @@ def scores(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, table in _buckets(batches, bucket_bytes):
-            found = [_train_counts(part, order) for part in pieces(table.to_batches())]
+            found = [_train_counts(part, order) for part in pieces(table.to_batches(), _AT_ONCE)]
             keys, counts = _merged([f[0] for f in found], [f[1] for f in found])
             words, times = _summed_words(pa.concat_arrays([f[2] for f in found]), np.concatenate([f[3] for f in found]))
             by_key, key_edges = _parted(_mixed(keys) % np.uint64(shards), shards)
@@ -269,7 +272,7 @@ def scores(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES
         value = np.frombuffer(b"".join(known.column("gram_value").to_pylist()), np.float32)
         words = known.column("words").combine_chunks().flatten()
         word_n = known.column("word_n").combine_chunks().flatten().to_numpy()
-        parts = [_scored(part, order, codes, value, words, word_n, n, v) for part in pieces(table.to_batches(), 4 << 20)]
+        parts = [_scored(part, order, codes, value, words, word_n, n, v) for part in pieces(table.to_batches(), _AT_ONCE)]
         return pa.concat_tables(parts)
 
     return texts.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(score, _SCORES)
