@@ -17,7 +17,7 @@ KNOWN_WORDS = 500_000
 STALE = 0.5
 
 # Words encoded in one call.
-_AT_ONCE = 4096
+_AT_ONCE = 512
 
 # A space next to white space or at either end of the text: such texts are encoded whole.
 _ODD_SPACE = r"^ | $| [\s\p{Z}\x{85}\x0b\x1c-\x1f]|[\s\p{Z}\x{85}\x0b\x1c-\x1f] "
@@ -41,7 +41,9 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._keeps_spaces = keeps_spaces
+        # Only words that are new to the worker reach the model; its own memory of words would not help them.
+        self._tokenizer.model._resize_cache(0)
+        self._keeps_spaces, self._space = keeps_spaces, " " * keeps_spaces
         vocabulary = self._tokenizer.get_vocab()
         self._edge = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
@@ -49,7 +51,7 @@ class TextEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[str, int] = {}
+        self._known = pa.array([], pa.string())
         self._ids = np.zeros(1 << 16, np.uint32)
         self._starts = np.zeros(1 << 16, np.int64)
         self._ends = np.zeros(1 << 16, np.int64)
@@ -97,21 +99,20 @@ class TextEncoder:
         self._count += count
         return np.arange(first, first + count)
 
-    def _places(self, words: list[str]) -> np.ndarray:
-        known = self._known
-        places = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
-        missing = np.flatnonzero(places < 0).tolist()
-        if missing:
-            joined = [i for i in missing if self._stands_alone(words[i])]
-            single = [i for i in missing if not self._stands_alone(words[i])]
-            for which, encode in ((joined, self._joined), (single, self._one_by_one)):
-                if which:
-                    new = [words[i] for i in which]
-                    places[which] = added = self._add(*encode(new))
-                    if len(known) < KNOWN_WORDS:
-                        known.update(zip(new, added.tolist()))
-                        self._kept = self._count, self._filled
-        self._stale = len(missing) > STALE * len(words)
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of different words are kept; new words are encoded and, while there is room, remembered."""
+        places = pc.index_in(words, value_set=self._known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(places < 0)
+        self._stale = len(self._known) >= KNOWN_WORDS and len(missing) > STALE * len(words)
+        new = [self._space + w for w in words.take(pa.array(missing)).to_pylist()]
+        alone = np.fromiter(map(self._stands_alone, new), bool, len(new))
+        for which, encode in ((np.flatnonzero(alone), self._joined), (np.flatnonzero(~alone), self._one_by_one)):
+            if len(which):
+                at = missing[which]
+                places[at] = self._add(*encode([new[i] for i in which.tolist()]))
+                if len(self._known) < KNOWN_WORDS:
+                    self._known = pa.concat_arrays([self._known, words.take(pa.array(at))])
+                    self._kept = self._count, self._filled
         return places
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -133,17 +134,19 @@ class TextEncoder:
         counts = np.diff(np.append(firsts, len(flat := parts.flatten())))
         coded = flat.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        different = coded.dictionary.to_pylist()
-        places = self._places([" " + w for w in different] if self._keeps_spaces else different)[codes]
-        stale = self._stale and len(self._known) >= KNOWN_WORDS
+        different = coded.dictionary
+        places = self._places(different.cast(pa.string()))
+        starts, lengths = self._starts[places], self._ends[places] - self._starts[places]
+        starts, lengths = starts[codes], lengths[codes]
         if self._keeps_spaces:
-            places[firsts] = self._places([different[c] for c in codes[firsts].tolist()])
+            first_places = self._add(*self._one_by_one(flat.take(pa.array(firsts)).to_pylist()))
             if odd.any():
-                places[firsts[odd]] = self._add(*self._one_by_one(whole))
-        starts, lengths = self._starts[places], self._ends[places] - self._starts[places]
+                first_places[odd] = self._add(*self._one_by_one(whole))
+            starts[firsts] = self._starts[first_places]
+            lengths[firsts] = self._ends[first_places] - self._starts[first_places]
         ids = self._ids[ragged(starts, lengths)]
         before = np.append(0, np.cumsum(lengths))
-        if stale:
+        if self._stale:
             self._forget()
         else:
             self._count, self._filled = self._kept
