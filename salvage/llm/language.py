@@ -180,7 +180,7 @@ def scores(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES
         raise ValueError("contexts have 2 to 6 bytes")
     source = documents(docs).withColumn("held_out", fold(F.col("doc_id")) == 1)
     # What a bucket asks about is dealt over shards, of which there are more for more input.
-    shards = max(4, source.rdd.getNumPartitions() // 4)
+    shards = max(4, source.rdd.getNumPartitions())
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, table in _buckets(batches, bucket_bytes):
