@@ -105,11 +105,11 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def _shape(values: np.ndarray) -> bytes:
     """Whole numbers as bytes, all first bytes first, so that sorted or small ones compress well."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.astype(np.int64).view(np.uint8).reshape(len(values), 8).T.tobytes()
 
 
 def _numbers(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.int64).reshape(-1)
+    return np.frombuffer(raw, np.uint8).reshape(8, len(raw) // 8).T.copy().view(np.int64).reshape(-1)
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -251,7 +251,8 @@ def train(texts: pa.Array, labels: np.ndarray, share: float = 0.5, epochs: int =
             logit = network.logits(vocabulary.vectors(network.p["words"], network.p["grams"]), codes, first, length)
             order = np.lexsort((-logit, doc))
             chosen = rng.permutation(order[np.flatnonzero(np.append(True, doc[order][1:] != doc[order][:-1]))])
-        size = BATCH * 4 if epoch < 4 else BATCH
+        # Small samples are cut into as many steps as large ones.
+        size = max(8, min(BATCH * 4 if epoch < 4 else BATCH, len(chosen) // 60))
         for a in range(0, len(chosen), size):
             some = chosen[a : a + size]
             at, mask = _grid(codes, first[some], length[some])
