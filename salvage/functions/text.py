@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,17 +54,22 @@ def wide_charsets(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
+def _settings_for(charset: str, spark: SparkSession) -> AbstractContextManager:
+    """UTF-8 needs no setting, so none is touched that other threads of the session would see."""
+    return nullcontext() if charset == "UTF-8" else wide_charsets(spark)
+
+
 def encode_text(df: DataFrame, col: str, encoding: str, out: str = "bytes") -> DataFrame:
     """``col`` as the bytes a text file in ``encoding`` holds."""
     charset, bom = CHARSETS[encoding]
     text = F.concat(F.lit(BOM), F.col(col)) if bom else F.col(col)
-    with wide_charsets(df.sparkSession):
+    with _settings_for(charset, df.sparkSession):
         return df.withColumn(out, F.encode(text, charset))
 
 
 def decode_text(df: DataFrame, col: str, encoding: str, out: str = "text") -> DataFrame:
     """The text of such bytes; a byte order mark is not part of it."""
     charset, bom = CHARSETS[encoding]
-    with wide_charsets(df.sparkSession):
+    with _settings_for(charset, df.sparkSession):
         text = F.decode(F.col(col), charset)
         return df.withColumn(out, F.regexp_replace(text, f"^{BOM}", "") if bom else text)

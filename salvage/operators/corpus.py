@@ -161,8 +161,9 @@ def _by_name(q: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def parameter_count(sql: Column) -> Column:
-    """Number of declarations in a leading ``PARAMETERS a Text, b Long;`` clause."""
-    head = F.regexp_extract(sql, r"(?is)^\s*parameters\s+([^;]*);", 1)
+    """Number of declarations in a leading ``PARAMETERS [a, b] Text, c Decimal(10,2);`` clause."""
+    bare = F.regexp_replace(sql, r"\[[^\]]*\]|\([^)]*\)", "x")
+    head = F.regexp_extract(bare, r"(?is)^\s*parameters\s+([^;]*);", 1)
     return F.when(head == "", 0).otherwise(F.size(F.split(head, ",")))
 
 

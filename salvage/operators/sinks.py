@@ -118,7 +118,10 @@ def export_tables(
             return table, slugs[table], kind, relative, "SUCCESS", counted.get["n"], None
         except Exception as error:
             reason = str(error) or type(error).__name__
-            _write_sidecar(spark, f"{out}/{relative}.metadata", slugs[table], reason)
+            try:
+                _write_sidecar(spark, f"{out}/{relative}.metadata", slugs[table], reason)
+            except Exception as second:
+                reason = f"{reason} (no sidecar: {str(second) or type(second).__name__})"
             return table, slugs[table], kind, relative, "PARTIAL", None, reason
 
     tasks = [(table, kind) for table in by_name(tables) for kind in formats]

@@ -275,9 +275,9 @@ CASE WHEN {STALE} THEN '{STALE_ON_OPEN}' ELSE message END AS extract_message FRO
 CASE WHEN regexp_matches(sql, '(?is)^\s*parameters\s+[^;]+;') THEN
 len(string_split(regexp_extract(sql, '(?is)^\s*parameters\s+([^;]*);', 1), ',')) ELSE 0 END AS parameter_count,
 coalesce(sql, '') AS sql FROM saved_queries""",
-    "preflight": f"""{_with('dump_files', 'lake_tables', 'failures', 'part_queries')}, {SIBLINGS},
+    "preflight": f"""{_with('dump_files', 'lake_tables', 'failures', 'saved_queries')}, {SIBLINGS},
 t AS (SELECT source_id, count(*) AS n FROM lake_tables GROUP BY 1),
-q AS (SELECT 'db' || CAST(query_id % 60 AS VARCHAR) AS source_id, count(*) AS n FROM part_queries GROUP BY 1),
+q AS (SELECT 'db' || CAST((query_id % 60 + 60) % 60 AS VARCHAR) AS source_id, count(*) AS n FROM saved_queries GROUP BY 1),
 w AS (SELECT source_id, min(CASE WHEN {STALE} THEN '{STALE_PATH}' ELSE message END) AS first_warning FROM failures GROUP BY 1)
 SELECT s.*, coalesce(t.n, 0) AS table_count, coalesce(q.n, 0) AS query_count, w.source_id IS NULL AS openable, first_warning
 FROM siblings s LEFT JOIN t USING (source_id) LEFT JOIN q USING (source_id) LEFT JOIN w USING (source_id)""",

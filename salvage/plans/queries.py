@@ -120,8 +120,8 @@ def query_inventory(spark, sf):
 
 @query
 def preflight(spark, sf):
-    queries = shape(spark, sf, "part_queries").select(
-        F.concat(F.lit("db"), (F.col("query_id") % 60).cast("string")).alias("source_id")
+    queries = shape(spark, sf, "saved_queries").select(
+        F.concat(F.lit("db"), F.pmod("query_id", F.lit(60)).cast("string")).alias("source_id")
     )
     return dumps.preflight(
         shape(spark, sf, "dump_files"), shape(spark, sf, "lake_tables"), queries, shape(spark, sf, "failures")

@@ -192,8 +192,10 @@ class _Run:
             artifacts.append(
                 (written.drop("translated"), f"queries/translated/{options.translate_sql.lower()}", "parquet")
             )
-            self.diagnostics.append(corpus.translation_ledger(translated, options.translate_sql)[0])
         self._write(*artifacts)
+        # Only now is it known that the corpus can be read.
+        if options.translate_sql != "NONE":
+            self.diagnostics.append(corpus.translation_ledger(translated, options.translate_sql)[0])
         self.counted["queries"] = chosen
         self.coverage.append(ledger.query_coverage(chosen, options.translate_sql))
 
@@ -253,6 +255,9 @@ class _Run:
         """Folders below the output that hold a part file, relative to it."""
         if not self.options.extract_schema or "tables" not in self.counted:
             return local_rows(self.spark, [], "path string")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self._path("schema/tables"))
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return local_rows(self.spark, [], "path string")
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
             self._path("schema/tables")
         )

@@ -178,3 +178,17 @@ def test_mining_needs_no_shuffle_and_no_python(spark):
     for plan in plans:
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in text and "Python" not in text and "lambda" not in text
+
+
+def test_parameters_with_commas_in_names_and_types(spark):
+    from pyspark.sql import functions as F
+
+    from salvage.operators.corpus import parameter_count
+
+    rows = [
+        ("PARAMETERS [Enter a, b] Text, c Decimal(10,2); SELECT 1", 2),
+        ("PARAMETERS [a;b] Text; SELECT 1", 1),
+        ("SELECT [a, b] FROM t", 0),
+    ]
+    found = spark.createDataFrame(rows, "sql string, n int").select(parameter_count(F.col("sql")).alias("got"), "n")
+    assert all(r.got == r.n for r in found.collect())

@@ -40,3 +40,15 @@ def test_charset_settings_are_put_back(spark):
 )
 def test_redaction(spark, text, want):
     assert redact_secrets(spark.createDataFrame([(text,)], "t string"), ["t"]).first()["t"] == want
+
+
+def test_utf8_leaves_the_session_settings_alone(spark, monkeypatch):
+    from salvage.functions import text
+
+    def touched(_):
+        raise AssertionError("a setting was touched")
+
+    monkeypatch.setattr(text, "wide_charsets", touched)
+    df = spark.createDataFrame([("é",)], "t string")
+    again = text.decode_text(text.encode_text(df, "t", "UTF8_BOM"), "bytes", "UTF8_BOM")
+    assert again.first().text == "é"
