@@ -205,9 +205,9 @@ def coverage_summary(coverage: DataFrame, keys: tuple[str, ...] = ()) -> DataFra
     return both.groupBy(*keys, "status").agg(F.sum("_n").alias("n"))
 
 
-def diagnostics_ledger(*parts: DataFrame, stamped: bool = False) -> DataFrame:
+def diagnostics_ledger(*parts: DataFrame, stamped: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """warnings and errors of all steps. ``stamped`` adds the time of the run."""
-    united = union_all(part.select(*DIAGNOSTIC_COLUMNS) for part in parts)
+    united = union_all(part.select(*keys, *DIAGNOSTIC_COLUMNS) for part in parts)
     return united.withColumn("timestamp", F.current_timestamp()) if stamped else united
 
 
@@ -228,6 +228,19 @@ def diagnostic(
     return local_rows(spark, [(code, severity, message, kind, name, details)], DIAGNOSTICS)
 
 
+def counts_in_each(
+    sources: DataFrame, counted: Mapping[str, DataFrame | None], keys: tuple[str, ...]
+) -> DataFrame:
+    """F4 for every source of a listing: each kind is counted for all sources in one job."""
+    kinds = F.explode(F.array(*map(F.lit, (*COUNTED_KINDS, *UNCOUNTED_KINDS))))
+    parts = [sources.select(*keys).distinct().select(*keys, kinds.alias("kind"), F.lit(0).cast("bigint").alias("n"))]
+    for kind, rows in counted.items():
+        if rows is not None:
+            counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+            parts.append(counts.select(*keys, F.lit(kind).alias("kind"), "n"))
+    return union_all(parts).groupBy(*keys, "kind").agg(F.sum("n").alias("n"))
+
+
 def inventory_counts(spark: SparkSession, counted: Mapping[str, DataFrame | None]) -> DataFrame:
     """objects by kind; kinds that are never recovered stay at zero."""
     parts = []
@@ -254,10 +267,11 @@ def missing_artifacts(referenced: DataFrame, present: DataFrame, keys: tuple[str
     )
 
 
-def validation_diagnostics(missing: DataFrame) -> DataFrame:
+def validation_diagnostics(missing: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """One warning with the number of missing artifacts, none if there are none."""
     count = F.col("n").cast("string")
-    return missing.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(
+    return missing.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(
+        *keys,
         F.lit("VALIDATION_MISSING_ARTIFACTS").alias("code"),
         F.lit("warning").alias("severity"),
         F.concat(F.lit(MISSING_ARTIFACTS), count).alias("message"),
@@ -267,23 +281,29 @@ def validation_diagnostics(missing: DataFrame) -> DataFrame:
     )
 
 
-def object_inventory(coverage: DataFrame) -> DataFrame:
+def object_inventory(coverage: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """one Markdown line per coverage entry, by category and name."""
     line = F.format_string(
         "- `%s` `%s` `%s` confidence=%.2f", F.col("category"), F.col("name"), F.col("status"), F.col("confidence")
     )
-    return coverage.orderBy("category", "name", "status", "confidence").select(line.alias("line"))
-
-
-def run_summary(coverage: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """sizes of the ledgers, exit code and closing status of a run, in one row."""
-    error = F.col("severity") == "error"
-    found = diagnostics.agg(
-        F.count_if(~error).alias("warnings"), F.count_if(error).alias("errors")
+    ordered = coverage.orderBy(*keys, "category", "name", "status", "confidence")
+    return ordered.select(*keys, line.alias("line"))
+
+
+def run_summary(coverage: DataFrame, diagnostics: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """sizes of the ledgers, exit code and closing status of a run, in one row, or one per source."""
+    # Entries are counted beside diagnostics, so both ledgers are reduced in one aggregate.
+    entries = coverage.select(*keys, F.lit(True).alias("_entry"), F.lit("").alias("severity"))
+    found = diagnostics.select(*keys, F.lit(False).alias("_entry"), "severity")
+    entry, error = F.col("_entry"), F.col("severity") == "error"
+    sizes = entries.unionByName(found).groupBy(*keys).agg(
+        F.count_if(entry).alias("coverage_entries"),
+        F.count_if(~entry & ~error).alias("warnings"),
+        F.count_if(~entry & error).alias("errors"),
     )
-    entries = coverage.agg(F.count(F.lit(1)).alias("n"))
-    return found.select(
-        entries.scalar().alias("coverage_entries"),
+    return sizes.select(
+        *keys,
+        "coverage_entries",
         "warnings",
         "errors",
         F.when(F.col("errors") == 0, 0).otherwise(2).alias("exit_code"),

@@ -7,38 +7,52 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.01
-SALTS = 64
+# A key is hot, and its rows are spread, if it fills more than one shuffle partition's share of the rows; with fewer
+# partitions than these, if it holds more than one percent, over so many parts.
+LEAST_SHARES, LEAST_SALTS = 100, 64
 
-# Keys a frequency sketch tracks: enough to tell a share of one percent from its error of about 0.1.
-_TRACKED = 1024
+# Keys a frequency sketch tracks for each share it looks for, so that its error is well below a share.
+_TRACKED_PER_SHARE = 10
 # Sketches are merged in this many tasks before the last merge, which then has a fixed size.
 _MERGES = 512
 _HASH, _SALT = "_hash", "_salt"
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """One row: hashes of the keys that hold more than ``share`` of the rows, at most ``1 / share`` of them.
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    Every task reduces its keys to a small frequency sketch, so finding the hot keys moves no keys around.
+
+def hot_keys(df: DataFrame, *key_sets: list[str], shares: int | None = None) -> DataFrame:
+    """One row: hashes of the keys that hold more than one of ``shares`` equal shares of the rows.
+
+    ``shares`` is the number of shuffle partitions (100 at least), so that a key which is not found fills no more than
+    an ordinary partition, however large the data. Several ``key_sets``, for joins that follow each other, are looked
+    at in one pass and found together: a key hot in one of them is spread in all.
+
+    Every task reduces its keys to small frequency sketches, so finding the hot keys moves no keys around.
     The sketch is an estimate. It only says which keys ``lookup_join`` spreads; the result never depends
     on it.
     """
-    present = df.dropna(subset=keys).select(F.xxhash64(*keys).alias(_HASH))
-    by_task = present.groupBy(F.pmod(F.spark_partition_id(), F.lit(_MERGES)).alias("_merge")).agg(
+    shares = shares or max(LEAST_SHARES, _partitions(df))
+    tracked = F.lit(_TRACKED_PER_SHARE * shares)
+    hashes = {}
+    for i, keys in enumerate(key_sets):
+        present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        hashes[f"{_HASH}{i}"] = F.when(present, F.xxhash64(*keys))
+    rows = df.select(*[column.alias(name) for name, column in hashes.items()])
+    by_task = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(_MERGES)).alias("_merge")).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.call_function("approx_top_k_accumulate", F.col(_HASH), F.lit(_TRACKED)).alias("_sketch"),
+        *[F.call_function("approx_top_k_accumulate", F.col(name), tracked).alias(name) for name in hashes],
     )
     whole = by_task.groupBy(F.lit(0).alias("_all")).agg(
         F.sum("_n").alias("_n"),
-        F.call_function("approx_top_k_combine", F.col("_sketch"), F.lit(_TRACKED)).alias("_sketch"),
+        *[F.call_function("approx_top_k_combine", F.col(name), tracked).alias(name) for name in hashes],
     )
-    top = F.call_function("approx_top_k_estimate", F.col("_sketch"), F.lit(int(1 / share)))
-    return whole.select("_n", top.alias("_top")).select(
-        F.transform(
-            F.filter("_top", lambda item: item["count"] > F.col("_n") * share), lambda item: item["item"]
-        ).alias("hot")
+    tops = [F.call_function("approx_top_k_estimate", F.col(name), F.lit(shares)) for name in hashes]
+    top = F.filter(
+        F.concat(*tops), lambda item: item["item"].isNotNull() & (item["count"] * shares > F.col("_n"))
     )
+    return whole.select(F.array_distinct(F.transform(top, lambda item: item["item"])).alias("hot"))
 
 
 def _is_hot(hot: DataFrame, keys: list[str]) -> Column:
@@ -52,9 +66,11 @@ def lookup_join(
     keys: list[str],
     how: str = "left",
     hot: DataFrame | None = None,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
-    """Join ``left`` to ``right`` on ``keys``, spreading the rows of hot left keys over ``salts`` tasks.
+    """Join ``left`` to ``right`` on ``keys``, spreading the rows of hot left keys over ``salts`` parts.
+
+    There are as many as shuffle partitions (64 at least), so a spread key is even in the largest join.
 
     The salt is the number of the input partition, so a task that is run again picks the same one
     whatever order its rows come in, and even exact copies of a row are spread. Only right rows of hot
@@ -65,6 +81,7 @@ def lookup_join(
     """
     if hot is None:
         hot = hot_keys(left, keys)
+    salts = salts or max(LEAST_SALTS, _partitions(left))
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salt = F.pmod(F.spark_partition_id(), F.lit(salts))
     salted_left = left.withColumn(_SALT, F.when(missing | _is_hot(hot, keys), salt).otherwise(F.lit(0)))

@@ -255,6 +255,13 @@ def _unpacked(queries: bool) -> str:
     return f"{_with('saved_queries')}, coverage{COVERAGE_HEAD} AS ({_union([*rows, UNRECOVERED])}) SELECT * FROM coverage"
 
 
+LAKE_ENTRIES = f"""entries AS (
+SELECT source_id, CASE WHEN row_count < 0 THEN 'failed' ELSE 'success' END AS status FROM lake_tables
+UNION ALL SELECT 'db' || CAST((query_id % 100 + 100) % 100 AS VARCHAR), unnest(['success',
+CASE WHEN {CONFIDENCE} >= 0.5 THEN 'success' ELSE 'partial' END]) FROM saved_queries
+UNION ALL SELECT source_id, unnest(['unsupported', 'unsupported', 'unsupported', 'unsupported'])
+FROM (SELECT DISTINCT source_id FROM lake_tables))"""
+
 ORACLES = {
     "dump_classes": f"{_with('dump_files')} SELECT *, {DUMP_CLASS} AS classification, {HEADLINE} AS headline FROM dump_files",
     "dump_siblings": f"""{_with('dump_files')}, {SIBLINGS}
@@ -358,12 +365,23 @@ FROM lake_relationships""",
     "coverage_ledger": f"{_with('lake_tables', 'lake_relationships', 'saved_queries')}, {COVERAGE} SELECT * FROM coverage",
     "coverage_summary": f"""{_with('lake_tables', 'lake_relationships', 'saved_queries')}, {COVERAGE}
 SELECT lower(status) AS status, count(*) AS n FROM coverage GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM coverage""",
-    "lake_coverage": f"""{_with('lake_tables', 'saved_queries')}, entries AS (
-SELECT source_id, CASE WHEN row_count < 0 THEN 'failed' ELSE 'success' END AS status FROM lake_tables
-UNION ALL SELECT 'db' || CAST((query_id % 100 + 100) % 100 AS VARCHAR), unnest(['success',
-CASE WHEN {CONFIDENCE} >= 0.5 THEN 'success' ELSE 'partial' END]) FROM saved_queries
-UNION ALL SELECT source_id, unnest(['unsupported', 'unsupported', 'unsupported', 'unsupported'])
-FROM (SELECT DISTINCT source_id FROM lake_tables))
+    "lake_counts": f"""{_with('lake_tables', 'saved_queries')}, counted AS (
+SELECT source_id, unnest(['tables', 'queries', 'relationships', 'forms', 'reports', 'macros', 'modules']) AS kind, 0 AS n
+FROM (SELECT DISTINCT source_id FROM lake_tables)
+UNION ALL SELECT source_id, 'tables', 1 FROM lake_tables WHERE NOT system_object
+UNION ALL SELECT 'db' || CAST((query_id % 100 + 100) % 100 AS VARCHAR), 'queries', 1 FROM saved_queries)
+SELECT source_id, kind, CAST(sum(n) AS BIGINT) AS n FROM counted GROUP BY 1, 2""",
+    "lake_objects": f"""{_with('lake_tables')} SELECT source_id, printf('- `table` `%s` `%s` confidence=%.2f', name,
+CASE WHEN row_count < 0 THEN 'FAILED' ELSE 'SUCCESS' END, CASE WHEN row_count < 0 THEN 0.0 ELSE 0.95 END) AS line FROM lake_tables""",
+    "lake_summary": f"""{_with('lake_tables', 'saved_queries')}, {LAKE_ENTRIES}, incomplete AS (
+SELECT DISTINCT source_id AS id FROM lake_tables t WHERE NOT EXISTS (SELECT 1 FROM lake_tables p
+WHERE p.source_id = t.source_id AND p.slug = t.slug AND p.column_count % 9 <> 0)),
+sizes AS (SELECT source_id, count(*) AS coverage_entries FROM entries GROUP BY 1)
+SELECT source_id, coverage_entries, CAST(CASE WHEN id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS warnings,
+CAST(0 AS BIGINT) AS errors, 0 AS exit_code,
+CASE WHEN id IS NULL THEN 'Completed cleanly' ELSE 'Completed with warnings' END AS status
+FROM sizes LEFT JOIN incomplete ON id = source_id""",
+    "lake_coverage": f"""{_with('lake_tables', 'saved_queries')}, {LAKE_ENTRIES}
 SELECT source_id, status, count(*) AS n FROM entries GROUP BY 1, 2
 UNION ALL SELECT source_id, 'total', count(*) FROM entries GROUP BY 1""",
     "diagnostics_ledger": f"""{_with('dump_files', 'links', 'saved_queries', 'lake_tables')}, {RESOLVED}, {MISSING}, {DIAGNOSTICS}

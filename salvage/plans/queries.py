@@ -456,20 +456,51 @@ def coverage_summary(spark, sf):
     return ledger.coverage_summary(_coverage(spark, sf))
 
 
+LAKE = ("source_id",)
+
+
+def _lake_queries(spark, sf) -> DataFrame:
+    of_source = F.concat(F.lit("db"), F.pmod("query_id", F.lit(100)).cast("string")).alias("source_id")
+    return shape(spark, sf, "saved_queries").select(of_source, "name", "sql")
+
+
+def _lake_coverage(spark, sf) -> DataFrame:
+    inventory = shape(spark, sf, "lake_tables")
+    return ledger.coverage_ledger(
+        spark, inventory, queries=_lake_queries(spark, sf), dialect=DIALECT, keys=LAKE, sources=inventory
+    )
+
+
 @query
 def lake_coverage(spark, sf):
     """Coverage of every source of a lake at once, summed up per source."""
-    of_source = F.concat(F.lit("db"), F.pmod("query_id", F.lit(100)).cast("string")).alias("source_id")
+    return ledger.coverage_summary(_lake_coverage(spark, sf), LAKE)
+
+
+@query
+def lake_counts(spark, sf):
     inventory = shape(spark, sf, "lake_tables")
-    coverage = ledger.coverage_ledger(
-        spark,
-        inventory,
-        queries=shape(spark, sf, "saved_queries").select(of_source, "name", "sql"),
-        dialect=DIALECT,
-        keys=("source_id",),
-        sources=inventory,
+    counted = {"tables": scope.drop_system(inventory), "queries": _lake_queries(spark, sf)}
+    return ledger.counts_in_each(inventory, counted, LAKE)
+
+
+@query
+def lake_objects(spark, sf):
+    inventory = shape(spark, sf, "lake_tables")
+    return ledger.object_inventory(ledger.table_coverage(inventory, keys=LAKE), LAKE)
+
+
+@query
+def lake_summary(spark, sf):
+    """Closing status of every source of a lake at once."""
+    listed = shape(spark, sf, "lake_tables")
+    written = listed.where("column_count % 9 <> 0").select(
+        *LAKE, F.concat(F.lit("schema/tables/slug="), F.col("slug")).alias("path")
     )
-    return ledger.coverage_summary(coverage, ("source_id",))
+    referenced = ledger.referenced_artifacts(ledger.table_coverage(listed, keys=LAKE), LAKE)
+    missing = ledger.missing_artifacts(referenced, written, LAKE)
+    diagnostics = ledger.diagnostics_ledger(ledger.validation_diagnostics(missing, LAKE), keys=LAKE)
+    return ledger.run_summary(_lake_coverage(spark, sf), diagnostics, LAKE)
 
 
 @query

@@ -91,10 +91,10 @@ class _Run:
         if not (options.extract_schema or options.extract_data):
             return
         failures: dict[str, str] = {}
-        tables = source_tables.load_tables(self.spark, options.input, options.selected_tables, failures)
-        if not options.include_system_objects:
-            tables = {name: df for name, df in tables.items() if name not in declared.system}
-            failures = {name: why for name, why in failures.items() if name not in declared.system}
+        hidden = () if options.include_system_objects else declared.system
+        tables = source_tables.load_tables(
+            self.spark, options.input, options.selected_tables, failures, source_tables.READERS, hidden
+        )
         rows, broken = source_tables.readable_tables(tables, options.parallel_jobs)
         failures.update(broken)
         readable = {name: tables[name] for name in rows}
@@ -271,17 +271,37 @@ def unpack_many(
     declared: Mapping[str, Declarations] | None = None,
     parallelism: int = 4,
 ) -> dict[str, UnpackResult]:
-    """Unpack several sources side by side; each writes to its own output and fails on its own."""
+    """Unpack several sources side by side; each writes to its own output and fails on its own.
+
+    A run that cannot even write its ledgers, or is asked for nothing, comes back as a failed source whose ledgers
+    were never written.
+    """
     declared = declared or {}
 
     def one(item: tuple[str, UnpackOptions]) -> tuple[str, UnpackResult]:
         source_id, options = item
-        return source_id, unpack(spark, options, declared.get(source_id))
+        try:
+            return source_id, unpack(spark, options, declared.get(source_id))
+        except Exception as error:
+            return source_id, _never_ran(spark, options, str(error) or type(error).__name__)
 
     alone = any(options.text_encoding in ("WINDOWS_31J", "SHIFT_JIS") for options in sources.values())
     return dict(side_by_side(one, sources.items(), 1 if alone else parallelism))
 
 
+def _never_ran(spark: SparkSession, options: UnpackOptions, message: str) -> UnpackResult:
+    name = options.input.rstrip("/").rsplit("/", 1)[-1]
+    error = ledger.diagnostic(spark, "DATABASE_OPEN_FAILED", "error", message, "database", name, step="run")
+    counts = ledger.inventory_counts(spark, {})
+    return UnpackResult(
+        options.output,
+        ledger.failed_database(spark, name, message),
+        ledger.diagnostics_ledger(error, stamped=True),
+        counts,
+        ledger.manifest(options, counts),
+    )
+
+
 def labelled(results: Mapping[str, UnpackResult]) -> DataFrame:
     """Coverage of many sources as one ledger, each row with its source."""
     return union_all(

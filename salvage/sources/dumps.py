@@ -169,10 +169,10 @@ def resolve_links(links: DataFrame, files: DataFrame, compat: bool = False) -> D
     beside = listing.select(path.alias("_beside"), F.lit(True).alias("_remapped"))
     base = base_name(F.col("linked_path"), "/" if compat else r"/\\")
     asked = links.withColumn("_beside", F.when(base != "", F.concat_ws("/", "source_dir", base)))
-    # Hot paths are counted on the links as they come, not on the outcome of the first join.
-    hot_beside = hot_keys(asked, ["_beside"])
-    direct = lookup_join(asked, whole, ["linked_path"])
-    both = lookup_join(direct, beside, ["_beside"], hot=hot_beside)
+    # Hot paths of both lookups are counted in one pass on the links as they come.
+    hot = hot_keys(asked, ["linked_path"], ["_beside"])
+    direct = lookup_join(asked, whole, ["linked_path"], hot=hot)
+    both = lookup_join(direct, beside, ["_beside"], hot=hot)
     return both.select(
         *links.columns,
         F.when(F.col("_direct"), F.col("linked_path"))

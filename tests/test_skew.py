@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from salvage.operators.scope import select_objects
+from salvage.operators.scope import select_objects, selected_names
 from salvage.operators.skew import hot_keys, lookup_join
 
 
@@ -44,6 +44,32 @@ def test_hot_keys_are_found_and_spread(no_broadcast, rows, names):
     assert len(missing) > 4
 
 
+def test_hot_keys_of_two_joins_are_found_in_one_pass(no_broadcast, rows):
+    left = rows.withColumn("w", F.when(F.col("v") < 5, F.lit("also")))
+    hot = hot_keys(left, ["k"], ["w"])
+    found = hot.first()["hot"]
+    assert None not in found
+    for name in ("hot", "also"):
+        assert left.select(F.xxhash64(F.lit(name)).alias("h")).first()["h"] in found
+    assert hot._jdf.queryExecution().optimizedPlan().toString().count("Range") == 1
+
+
+def test_shares_follow_the_shuffle_partitions(no_broadcast, rows):
+    # A key just above and just below one share of the rows.
+    left = rows.where("k = 'k1' OR v < 2")
+    key = left.select(F.xxhash64(F.lit("k1")).alias("h")).first()["h"]
+    share = left.where("k = 'k1'").count() / left.count()
+    assert key not in hot_keys(left, ["k"], shares=int(0.9 / share)).first()["hot"]
+    assert key in hot_keys(left, ["k"], shares=int(1.2 / share) + 1).first()["hot"]
+
+
+def test_names_on_the_driver_are_tested_alike(spark):
+    names = ["a", "B", "c"]
+    frame = spark.createDataFrame([("a",), ("b",), ("a",)], "n string")
+    assert selected_names(spark, names, frame) == {"a"} == selected_names(spark, names, ["a", "b"])
+    assert selected_names(spark, names, None) == set(names)
+
+
 def test_selection_by_frame_equals_selection_by_list(no_broadcast, rows):
     wanted = ["hot", "k1", "nowhere"]
     frame = no_broadcast.createDataFrame([(n,) for n in [*wanted, "hot"]], "anything string")

@@ -144,6 +144,14 @@ def test_many_sources(spark, source, declared, tmp_path):
     assert "database" in by_source["bad"] and "relationship" in by_source["good"] and "database" not in by_source["good"]
 
 
+def test_a_source_asked_for_nothing_fails_alone(spark, source, declared, tmp_path):
+    nothing = UnpackOptions(source, str(tmp_path / "none"), extract_schema=False, extract_data=False, extract_queries=False)
+    results = unpack_many(spark, {"none": nothing, "good": SCHEMA_ONLY.at(source, str(tmp_path / "good"))}, {"good": declared})
+    assert statuses(results["none"]) == {("database", "src"): "FAILED"}
+    assert results["none"].summary.first()["exit_code"] == 2 and results["none"].manifest.count() == 1
+    assert ("table", "child") in statuses(results["good"])
+
+
 def test_shift_jis_run(spark, source, declared, tmp_path):
     out = str(tmp_path / "out")
     options = UnpackOptions(source, out, export_data="CSV", text_encoding="SHIFT_JIS")
