@@ -273,7 +273,7 @@ def unpack_many(
 ) -> dict[str, UnpackResult]:
     """Unpack several sources side by side; each writes to its own output and fails on its own.
 
-    A run that cannot even write its ledgers, or is asked for nothing, comes back as a failed source whose ledgers
+    A run that cannot even write its ledgers, or whose selection is empty, comes back as a failed source whose ledgers
     were never written.
     """
     declared = declared or {}

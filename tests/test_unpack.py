@@ -145,7 +145,7 @@ def test_many_sources(spark, source, declared, tmp_path):
 
 
 def test_a_source_asked_for_nothing_fails_alone(spark, source, declared, tmp_path):
-    nothing = UnpackOptions(source, str(tmp_path / "none"), extract_schema=False, extract_data=False, extract_queries=False)
+    nothing = UnpackOptions(source, str(tmp_path / "none"), selected_tables=spark.createDataFrame([], "name string"))
     results = unpack_many(spark, {"none": nothing, "good": SCHEMA_ONLY.at(source, str(tmp_path / "good"))}, {"good": declared})
     assert statuses(results["none"]) == {("database", "src"): "FAILED"}
     assert results["none"].summary.first()["exit_code"] == 2 and results["none"].manifest.count() == 1
