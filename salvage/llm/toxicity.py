@@ -26,7 +26,7 @@ MOST_LABELLED, LONGEST_LABELLED = 4_000, 8_000
 WORDS, GRAMS = 1 << 13, 1 << 15
 WIDTH, HIDDEN, ATTENTION = 16, 12, 12
 EPOCHS, BATCH, RATE = 14, 64, 0.01
-_BATCH_WINDOWS = 1024
+_BATCH_WINDOWS = 256
 
 
 class Vocabulary:
@@ -95,97 +95,103 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows at each of ``n`` places."""
+    width = rows.shape[1]
+    flat = (at[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(flat, rows.ravel(), n * width).reshape(n, width).astype(np.float32)
+
+
 class Network:
-    """Parameters, scores and gradients. Arrays are by step, then by window."""
+    """Parameters, scores and gradients. Arrays are by step, then by window; both directions are read at once, the second
+    of them from the last step to the first."""
 
     def __init__(self, seed: int = 0) -> None:
         rng = np.random.default_rng(seed)
-        draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
+        draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[-2:][0])).astype(np.float32)
         h = HIDDEN
         self.p = {
             "words": np.zeros((WORDS, WIDTH), np.float32), "grams": draw(GRAMS, WIDTH) * 20,
-            "in_f": draw(WIDTH, 3 * h), "in_b": draw(WIDTH, 3 * h), "c_f": np.zeros(3 * h, np.float32), "c_b": np.zeros(3 * h, np.float32),
-            "u_f": draw(h, 3 * h), "u_b": draw(h, 3 * h), "q_f": np.zeros(h, np.float32), "q_b": np.zeros(h, np.float32),
+            "in": draw(2, WIDTH, 3 * h), "c": np.zeros((2, 1, 3 * h), np.float32),
+            "u": draw(2, h, 3 * h), "q": np.zeros((2, 1, h), np.float32),
             "att": draw(2 * h, ATTENTION), "att_c": np.zeros(ATTENTION, np.float32), "att_v": draw(ATTENTION),
             "out": draw(2 * h), "bias": np.zeros(1, np.float32),
         }
 
-    def _read(self, inputs: np.ndarray, mask: np.ndarray, way: str, keep: list | None) -> np.ndarray:
-        """The states of one direction; ``inputs`` are already projected."""
-        h, u, q = HIDDEN, self.p[f"u_{way}"], self.p[f"q_{way}"]
-        steps, n, _ = inputs.shape
-        states, state = np.empty((steps, n, h), np.float32), np.zeros((n, h), np.float32)
-        for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
+    def _read(self, inputs: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
+        """The states by step, direction and window; ``inputs`` are already projected."""
+        h, u, q = HIDDEN, self.p["u"], self.p["q"]
+        steps, _, n, _ = inputs.shape
+        states, state = np.empty((steps, 2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        for t in range(steps):
             moved = state @ u
-            gates = _sigmoid(inputs[t, :, : 2 * h] + moved[:, : 2 * h])
-            z, r, inner = gates[:, :h], gates[:, h:], moved[:, 2 * h :] + q
-            new = np.tanh(inputs[t, :, 2 * h :] + r * inner)
+            gates = _sigmoid(inputs[t, :, :, : 2 * h] + moved[:, :, : 2 * h])
+            z, r, inner = gates[:, :, :h], gates[:, :, h:], moved[:, :, 2 * h :] + q
+            new = np.tanh(inputs[t, :, :, 2 * h :] + r * inner)
             if keep is not None:
-                keep.append((t, state, z, r, inner, new))
-            state = state + mask[t, :, None] * ((1 - z) * (new - state))
+                keep.append((state, z, r, inner, new))
+            state = state + mask[t] * ((1 - z) * (new - state))
             states[t] = state
         return states
 
-    def project(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
+    def project(self, vectors: np.ndarray) -> np.ndarray:
         """What the gates of either direction get from each word."""
-        return {way: vectors @ self.p[f"in_{way}"] + self.p[f"c_{way}"] for way in "fb"}
+        return vectors @ self.p["in"] + self.p["c"]
 
-    def forward(self, projected: dict[str, np.ndarray], at: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def forward(self, projected: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Logits of windows; ``at`` (places of words) and ``mask`` are steps x windows."""
         p = self.p
-        read = {}
-        for way in "fb":
-            steps = None if keep is None else keep.setdefault(way, [])
-            read[way] = self._read(projected[way][at], mask, way, steps)
-        states = np.concatenate((read["f"], read["b"]), axis=2)
+        inputs = np.stack((projected[0][at], projected[1][at[::-1]]), axis=1)
+        both = np.stack((mask, mask[::-1]), axis=1)[:, :, :, None]
+        read = self._read(inputs, both, None if keep is None else keep.setdefault("steps", []))
+        states = np.concatenate((read[:, 0], read[::-1, 1]), axis=2)
         seen = np.tanh(states @ p["att"] + p["att_c"])
-        energy = np.where(mask > 0, seen @ p["att_v"], -1e9)
+        energy = np.where(mask > 0, seen @ p["att_v"], np.float32(-1e9))
         weight = np.exp(energy - energy.max(axis=0))
         weight /= weight.sum(axis=0)
-        pooled = (weight[:, :, None] * states).sum(axis=0)
+        pooled = np.einsum("tn,tnh->nh", weight, states)
         if keep is not None:
-            keep.update(at=at, mask=mask, states=states, seen=seen, weight=weight, pooled=pooled)
+            keep.update(at=at, both=both, states=states, seen=seen, weight=weight, pooled=pooled)
         return pooled @ p["out"] + p["bias"][0]
 
     def backward(self, keep: dict, slope: np.ndarray, vocabulary: Vocabulary, vectors: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of all parameters; ``slope`` is that of the loss by each logit."""
         p, h, g = self.p, HIDDEN, {}
-        states, seen, weight, mask, at = (keep[k] for k in ("states", "seen", "weight", "mask", "at"))
+        states, seen, weight, both, at = (keep[k] for k in ("states", "seen", "weight", "both", "at"))
         g["out"], g["bias"] = keep["pooled"].T @ slope, slope.sum(keepdims=True)
         d_pooled = slope[:, None] * p["out"]
-        d_weight = (states * d_pooled).sum(axis=2)
+        d_weight = np.einsum("tnh,nh->tn", states, d_pooled)
         d_energy = weight * (d_weight - (weight * d_weight).sum(axis=0))
         d_states = weight[:, :, None] * d_pooled
         g["att_v"] = np.tensordot(d_energy, seen, ((0, 1), (0, 1)))
         d_seen = d_energy[:, :, None] * p["att_v"] * (1 - seen**2)
         g["att"], g["att_c"] = np.tensordot(states, d_seen, ((0, 1), (0, 1))), d_seen.sum(axis=(0, 1))
         d_states = d_states + d_seen @ p["att"].T
-        d_vectors = np.zeros_like(vectors)
-        for way, own in (("f", d_states[:, :, :h]), ("b", d_states[:, :, h:])):
-            u = p[f"u_{way}"]
-            d_u, d_q, d_in = np.zeros_like(u), np.zeros_like(p[f"q_{way}"]), np.zeros((*at.shape, 3 * h), np.float32)
-            d_state = np.zeros_like(own[0])
-            for t, before, z, r, inner, new in reversed(keep[way]):
-                d_state = d_state + own[t]
-                d_step = d_state * mask[t, :, None]
-                d_z, d_new = d_step * (before - new), d_step * (1 - z)
-                d_inside = d_new * (1 - new**2)
-                d_inner = d_inside * r
-                d_gates = np.concatenate((d_z * z * (1 - z), d_inside * inner * r * (1 - r)), axis=1)
-                d_moved = np.concatenate((d_gates, d_inner), axis=1)
-                d_in[t] = np.concatenate((d_gates, d_inside), axis=1)
-                d_u += before.T @ d_moved
-                d_q += d_inner.sum(axis=0)
-                d_state = d_state - d_step * (1 - z) + d_moved @ u.T
-            d_projected = np.zeros((len(vectors), 3 * h), np.float32)
-            np.add.at(d_projected, at.reshape(-1), d_in.reshape(-1, 3 * h))
-            g[f"u_{way}"], g[f"q_{way}"], g[f"c_{way}"] = d_u, d_q, d_projected.sum(axis=0)
-            g[f"in_{way}"] = vectors.T @ d_projected
-            d_vectors += d_projected @ p[f"in_{way}"].T
-        g["words"], g["grams"] = np.zeros_like(p["words"]), np.zeros_like(p["grams"])
-        np.add.at(g["words"], vocabulary.words, d_vectors)
-        share = d_vectors / np.maximum(1, vocabulary.gram_counts)[:, None]
-        np.add.at(g["grams"], vocabulary.grams, np.repeat(share, vocabulary.gram_counts, axis=0).astype(np.float32))
+        own = np.stack((d_states[:, :, :h], d_states[::-1, :, h:]), axis=1)
+        back = p["u"].transpose(0, 2, 1)
+        d_u, d_q, d_in = np.zeros_like(p["u"]), np.zeros_like(p["q"]), np.empty((*both.shape[:3], 3 * h), np.float32)
+        d_state = np.zeros_like(own[0])
+        for t in range(len(at) - 1, -1, -1):
+            before, z, r, inner, new = keep["steps"][t]
+            d_state = d_state + own[t]
+            d_step = d_state * both[t]
+            d_z, d_new = d_step * (before - new), d_step * (1 - z)
+            d_inside = d_new * (1 - new**2)
+            d_inner = d_inside * r
+            d_gates = np.concatenate((d_z * z * (1 - z), d_inner * inner * (1 - r)), axis=2)
+            d_moved = np.concatenate((d_gates, d_inner), axis=2)
+            d_in[t] = np.concatenate((d_gates, d_inside), axis=2)
+            d_u += before.transpose(0, 2, 1) @ d_moved
+            d_q += d_inner.sum(axis=1, keepdims=True)
+            d_state = d_state - d_step * (1 - z) + d_moved @ back
+        by_word = np.stack((d_in[:, 0].reshape(-1, 3 * h), d_in[::-1, 1].reshape(-1, 3 * h)))
+        place = at.reshape(-1)
+        g["u"], g["q"], g["c"] = d_u, d_q, by_word.sum(axis=1, keepdims=True)
+        g["in"] = vectors[place].T @ by_word
+        d_vectors = _sums(place, (by_word @ p["in"].transpose(0, 2, 1)).sum(axis=0), len(vectors))
+        g["words"] = _sums(vocabulary.words, d_vectors, WORDS)
+        share = d_vectors / np.maximum(1, vocabulary.gram_counts)[:, None].astype(np.float32)
+        g["grams"] = _sums(vocabulary.grams, np.repeat(share, vocabulary.gram_counts, axis=0), GRAMS)
         return g
 
     def logits(self, vectors: np.ndarray, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -220,7 +226,7 @@ def _grid(codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.
 
 def train(texts: pa.Array, labels: np.ndarray, share: float = 0.5, epochs: int = EPOCHS, seed: int = 0) -> Network:
     """Learns from labels of whole texts: in the first epochs every window of a sample has the label of its text,
-    then only the worst window of each text counts. Both labels weigh the same.
+    then only the worst window of each text counts, chosen anew every other epoch. Both labels weigh the same.
 
     A fifth of the texts is only used to set the middle of the scores: where fewest of them are on the wrong side
     if ``share`` of all texts are toxic.
@@ -248,9 +254,11 @@ def train(texts: pa.Array, labels: np.ndarray, share: float = 0.5, epochs: int =
         if epoch < 4:
             chosen = rng.permutation(len(doc))[: 6 * len(labels)]
         else:
-            logit = network.logits(vocabulary.vectors(network.p["words"], network.p["grams"]), codes, first, length)
-            order = np.lexsort((-logit, doc))
-            chosen = rng.permutation(order[np.flatnonzero(np.append(True, doc[order][1:] != doc[order][:-1]))])
+            if epoch % 2 == 0:
+                logit = network.logits(vocabulary.vectors(network.p["words"], network.p["grams"]), codes, first, length)
+                order = np.lexsort((-logit, doc))
+                worst = order[np.flatnonzero(np.append(True, doc[order][1:] != doc[order][:-1]))]
+            chosen = rng.permutation(worst)
         # Small samples are cut into as many steps as large ones.
         size = max(8, min(BATCH * 4 if epoch < 4 else BATCH, len(chosen) // 60))
         for a in range(0, len(chosen), size):
