@@ -21,6 +21,11 @@ def text_digests(docs: DataFrame) -> DataFrame:
     return documents(docs).select("doc_id", F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"))
 
 
+def _shared(members: DataFrame, *keys: str) -> DataFrame:
+    """The keys of two members or more."""
+    return members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+
+
 def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """One row per document: ``doc_id``, ``keep_id``, ``group_size``, ``kept``.
 
@@ -29,8 +34,9 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
 
     Each step only goes on with the documents whose group still has two members or more, and moves nothing but
     numbers: lengths and hashes of prefixes from one scan, then full hashes from a second, computed only for the
-    documents that survived both. Groups are reduced to one row before they meet their members again, and rows of
-    a large group are split by the adaptive join.
+    documents that survived both. Groups are reduced to one row and written before they meet their members again: so
+    counting starts on the map side, and the adaptive join, which splits only what comes straight from a shuffle, can
+    split the rows of a large group.
 
     ``doc_id`` names a document: repeated rows of one id and text are members each, and stay or go together. Null
     ids are members like others, after all other ids where lengths tie, and are kept where they win. No rows in,
@@ -47,9 +53,9 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
         ),
         "text-sizes",
     )
-    same_length = sizes.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bytes")
-    by_length = sizes.join(same_length, "bytes", "left_semi")
-    same_head = by_length.groupBy("bytes", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    same_length = written(_shared(sizes, "bytes"), "shared-lengths")
+    by_length = written(sizes.join(same_length, "bytes", "left_semi"), "same-length")
+    same_head = written(_shared(by_length, "bytes", "head"), "shared-heads")
     by_head = by_length.join(same_head, ["bytes", "head"], "left_semi")
     survivors = written(by_head.select("doc_id").distinct(), "survivors")
 
@@ -62,7 +68,7 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     )
     hashed = written(hashed, "full-hashes")
     best = F.min(F.struct(-F.col("chars"), F.col("doc_id").isNull(), F.col("doc_id"))).alias("best")
-    groups = hashed.groupBy("bytes", "hash").agg(F.count(F.lit(1)).alias("group_size"), best)
+    groups = written(hashed.groupBy("bytes", "hash").agg(F.count(F.lit(1)).alias("group_size"), best), "groups")
     grouped = hashed.join(groups, ["bytes", "hash"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size")
     alone = sizes.join(survivors, sizes["doc_id"].eqNullSafe(survivors["doc_id"]), "left_anti").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
