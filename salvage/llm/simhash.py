@@ -189,7 +189,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, longest: int = LONGES
     rooted = nodes.join(joined.withColumnRenamed("node", "bits"), "bits", "left").select(
         "bits", "least", F.coalesce("root", "bits").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Both written, so that the adaptive join can split a large component.
+    rooted = written(rooted, "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
     named = rooted.join(least, "root").select("bits", "component_id")
     return marked.join(named, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
