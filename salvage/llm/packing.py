@@ -16,8 +16,8 @@ from salvage.llm.words import text_encoder, with_end
 WINDOW = 2048
 END_ID = 1
 K1, B = 1.2, 0.75
-# Terms in more than this share of a shard's documents carry next to no weight and are left out of the index.
-COMMON = 1 / 16
+# Terms in more than this share of a shard's documents are kept as a row of weights, all others as postings.
+COMMON = 1 / 4
 
 PACKED = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -25,7 +25,11 @@ PACKED = (
 
 
 class Index:
-    """A BM25 inverted index over the documents of one shard, with token ids as terms."""
+    """A BM25 inverted index over the documents of one shard, with token ids as terms.
+
+    It holds every term of two documents or more. Rows of common terms take at most ``1 / common`` times the room of their
+    postings and are summed without looking anything up.
+    """
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray, common: float = COMMON) -> None:
         docs = len(counts)
@@ -35,16 +39,24 @@ class Index:
         times = np.diff(np.append(new, len(keys)))
         doc, term = np.divmod(keys[new], width)
         spread = np.bincount(term, minlength=width)
-        used = (spread[term] > 1) & (spread[term] <= max(2, common * docs))
+        used = spread[term] > 1
         doc, term, times = doc[used], term[used], times[used]
         self.terms = term
         self.term_starts = np.searchsorted(doc, np.arange(docs + 1))
+        idf = np.log1p((docs - spread + 0.5) / (spread + 0.5))
+        longer = 1 - B + B * counts / max(1.0, counts.mean() if docs else 1.0)
+        weights = idf[term] * times * (K1 + 1) / (times + K1 * longer[doc])
+        hot = np.flatnonzero((spread > 1) & (spread > common * docs))
+        self.row = np.full(width, -1)
+        self.row[hot] = np.arange(len(hot))
+        self.rows = np.zeros((len(hot), docs))
+        whole = self.row[term] >= 0
+        self.rows[self.row[term[whole]], doc[whole]] = weights[whole]
+        doc, term, weights = doc[~whole], term[~whole], weights[~whole]
         order = np.argsort(term, kind="stable")
         self.posted = doc[order]
         self.posting_starts = np.searchsorted(term[order], np.arange(width + 1))
-        idf = np.log1p((docs - spread + 0.5) / (spread + 0.5))
-        longer = 1 - B + B * counts / max(1.0, counts.mean() if docs else 1.0)
-        self.weights = (idf[term] * times * (K1 + 1) / (times + K1 * longer[doc]))[order]
+        self.weights = weights[order]
         self.docs = docs
 
     def scores(self, seed: int) -> np.ndarray:
@@ -52,7 +64,10 @@ class Index:
         terms = self.terms[self.term_starts[seed] : self.term_starts[seed + 1]]
         starts = self.posting_starts[terms]
         at = ragged(starts, self.posting_starts[terms + 1] - starts)
-        return np.bincount(self.posted[at], self.weights[at], self.docs)
+        rows = self.row[terms]
+        asked = np.zeros(len(self.rows))
+        asked[rows[rows >= 0]] = 1
+        return np.bincount(self.posted[at], self.weights[at], self.docs) + asked @ self.rows
 
 
 def pack_shard(ids: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -80,17 +95,17 @@ def pack_shard(ids: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> lis
                     return pieces_
                 doc = following
             unused[doc], start = False, 0
-        if offset == 0 or not ranked:
-            scores = index.scores(doc)
-            scores[~unused] = 0
-            near = np.flatnonzero(scores)
-            # Best last; only as many as could still be needed before the next seed.
-            best = near[np.argsort(-scores[near], kind="stable")] if len(near) <= 64 else _top(scores, near, 64)
-            ranked = best[::-1].tolist()
         length = min(sizes[doc] - start, window - offset)
         pieces_.append((doc, start, length, sequence, offset))
         start, offset = start + length, offset + length
         if start == sizes[doc]:
+            if not ranked and offset < window:  # else nothing follows in this window
+                scores = index.scores(doc)
+                scores[~unused] = 0
+                near = np.flatnonzero(scores)
+                # Best last; only as many as could still be needed before the next seed.
+                best = near[np.argsort(-scores[near], kind="stable")] if len(near) <= 64 else _top(scores, near, 64)
+                ranked = best[::-1].tolist()
             doc = -1
         if offset == window:
             sequence, offset, ranked = sequence + 1, 0, []
