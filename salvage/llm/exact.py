@@ -27,7 +27,7 @@ def _shared(members: DataFrame, *keys: str) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """One row per document: ``doc_id``, ``keep_id``, ``group_size``, ``kept``.
+    """One row per document: ``doc_id``, ``keep_id``, ``group_size``, ``text_sha256`` (as in ``text_digests``), ``kept``.
 
     Texts are equal when their normalised forms are; a null text counts as empty. The row with the most characters
     in its original text stays, of several the one with the smallest id.
@@ -69,9 +69,12 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     hashed = written(hashed, "full-hashes")
     best = F.min(F.struct(-F.col("chars"), F.col("doc_id").isNull(), F.col("doc_id"))).alias("best")
     groups = written(hashed.groupBy("bytes", "hash").agg(F.count(F.lit(1)).alias("group_size"), best), "groups")
-    grouped = hashed.join(groups, ["bytes", "hash"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size")
-    alone = sizes.join(survivors, sizes["doc_id"].eqNullSafe(survivors["doc_id"]), "left_anti").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
+    grouped = hashed.join(groups, ["bytes", "hash"]).select(
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("hash").alias("text_sha256")
+    )
+    digests = docs.select("doc_id", F.sha2(bare.cast("binary"), 256).alias("text_sha256"))
+    alone = digests.join(survivors, digests["doc_id"].eqNullSafe(survivors["doc_id"]), "left_anti").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256"
     )
     return grouped.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 

@@ -21,9 +21,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    digests = exact.text_digests(docs).dropDuplicates(["doc_id"])
-    return exact.exact_groups(docs).join(digests, "doc_id")
+    found = exact.exact_groups(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
