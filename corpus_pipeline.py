@@ -1,7 +1,12 @@
 """From raw documents to packed sequences: five stages, each written as Parquet and read again as the next one's input.
 
-Quality and toxicity reject documents; exact dedup keeps one of equal texts, SimHash one of near copies; packing lays
-what is left into windows. Each stage sees only what its predecessor kept.
+Quality and toxicity reject documents; exact dedup keeps one of equal texts; SimHash near-dedup keeps one document of
+each component of fingerprints (four-word shingles, at most four differing bits, as in its own query); packing lays what
+is left into windows. Each stage sees only what its predecessor kept.
+
+Null and empty texts are documents like others. Repeated rows of one id and text stay or go together; rows without an id
+stay in the deduplicating stages, where they cannot be told apart. Empty tables give empty tables, columns other than
+those of ``documents`` are left behind.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from salvage.llm import exact, near, packing, quality, toxicity
+from salvage.llm import exact, packing, quality, simhash, toxicity
 from salvage.llm.common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,7 +37,7 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.without_near_copies(docs).select(*COLUMNS)
+    return simhash.one_of_each(docs).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
