@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import unicodedata
 from functools import cache
 
@@ -21,8 +22,8 @@ _AT_ONCE = 512
 
 # A space next to white space or at either end of the text: such texts are encoded whole.
 _ODD_SPACE = r"^ | $| [\s\p{Z}\x{85}\x0b\x1c-\x1f]|[\s\p{Z}\x{85}\x0b\x1c-\x1f] "
-# Apostrophes begin contractions, and marks beyond ASCII could join a run of signs or a letter.
-_ODD_SIGNS = r"'|<\||[^\x00-\x7F\p{L}]"
+# Apostrophes begin contractions; control characters and marks beyond ASCII could join a run of signs or a letter.
+_ODD_SIGNS = r"'|<\||[\x00-\x08\x0E-\x1F\x7F]|[^\x00-\x7F\p{L}]"
 _SIGNS = r"([!-&(-/:-@\[-`{-~]+)"
 
 
@@ -128,7 +129,7 @@ class TextEncoder:
         else:
             texts = pc.ascii_lower(texts)
             set_apart = pc.replace_substring_regex(texts, _SIGNS, r" \1 ")
-            texts = pc.if_else(pc.match_substring_regex(texts, _ODD_SIGNS), texts, set_apart)
+            texts = pc.if_else(pc.match_substring_regex(texts, _odd_signs()), texts, set_apart)
         parts = pc.split_pattern(texts, " ")
         firsts = np.asarray(parts.offsets)[:-1].astype(np.int64) - parts.offsets[0].as_py()
         counts = np.diff(np.append(firsts, len(flat := parts.flatten())))
@@ -161,6 +162,14 @@ def _grown(array: np.ndarray, size: int) -> np.ndarray:
     return larger
 
 
+@cache
+def _odd_signs() -> str:
+    """``_ODD_SIGNS`` and the letters that composing and folding case turn into more than letters."""
+    letters = (c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalpha())
+    odd = [c for c in letters if not unicodedata.normalize("NFC", c).lower().isalpha()]
+    return _ODD_SIGNS + "|[" + "".join(f"\\x{{{ord(c):x}}}" for c in odd) + "]"
+
+
 @cache
 def text_encoder(path: str, keeps_spaces: bool) -> TextEncoder:
     """The worker's encoder; tasks that follow in the same worker go on with its words."""
