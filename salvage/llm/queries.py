@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from salvage.llm import exact, language, neighbours, packing, quality, sentencepieces, shards, simhash, token_files, toxicity
+from salvage.llm import (
+    exact, language, neighbours, packing, quality, rules, sentencepieces, shards, simhash, token_files, toxicity,
+)
 from salvage.llm.common import forget_at_exit
 from salvage.session import scratch_dir
 
@@ -67,6 +69,11 @@ def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return rules.scored(docs, rules.references(docs)).drop("class_distance", "word_distance")
+
+
 QUERIES = {
     "op1_exact_dedup": exact_dedup,
     "op2_cross_polytope_neighbours": nearest_neighbours,
@@ -78,6 +85,7 @@ QUERIES = {
     "op8_sharding": sharded_documents,
     "op9_toxicity": toxicity_scores,
     "op10_simhash": simhash_components,
+    "op13_quality_rules": quality_rules,
     "pipeline": corpus_pipeline_rows,
 }
 
@@ -94,5 +102,90 @@ ORACLES = {
                    first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id
             FROM d
         )
+    """,    "op13_quality_rules": """
+        WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+        spelt AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
+        word AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM spelt),
+        windows AS (
+            SELECT r, pos, w, lead(w, 1) OVER p AS w1, lead(w, 2) OVER p AS w2 FROM word WINDOW p AS (PARTITION BY r ORDER BY pos)
+        ),
+        again AS (
+            SELECT r, count(DISTINCT place) AS n FROM (
+                SELECT r, unnest([pos, pos + 1, pos + 2]) AS place FROM (
+                    SELECT r, pos, count(*) OVER (PARTITION BY r, w, w1, w2) AS n FROM windows WHERE w2 IS NOT NULL
+                ) WHERE n > 1
+            ) GROUP BY r
+        ),
+        line AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+        lines AS (
+            SELECT r, count(*) - count(DISTINCT line) AS n FROM line WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r
+        ),
+        base AS (
+            SELECT d.r, doc_id, lang, len(words) AS n_words, length(text) AS chars,
+                   length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(lines.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
+            FROM d JOIN spelt USING (r) LEFT JOIN lines USING (r) LEFT JOIN again USING (r)
+        ),
+        known AS (SELECT lang FROM d WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= (SELECT count(*) FROM d) / 1000),
+        taught AS (SELECT r, lang FROM base JOIN known USING (lang) WHERE n_words >= 50),
+        classes AS (
+            SELECT r, unnest(range(8)) AS k, unnest([
+                length(regexp_replace(text, '[^a-z]', '', 'g')), length(regexp_replace(text, '[^A-Z]', '', 'g')),
+                length(regexp_replace(text, '[^0-9]', '', 'g')), length(regexp_replace(text, '[^\\x20\\x09-\\x0D]', '', 'g')),
+                length(regexp_replace(text, '[^.,;:!?"''()-]', '', 'g')),
+                length(regexp_replace(text, '[^#$%&*+/<=>@\\[\\\\\\]^_`{|}~]', '', 'g')),
+                length(regexp_replace(text, '[^\\x00-\\x08\\x0E-\\x1F\\x7F]', '', 'g')), length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))
+            ]) AS n FROM d
+        ),
+        class_refs AS (SELECT lang, k, sum(n) AS n FROM classes JOIN taught USING (r) GROUP BY lang, k),
+        class_shares AS (SELECT lang, k, n / sum(n) OVER (PARTITION BY lang) AS q FROM class_refs),
+        class_far AS (
+            SELECT r, min(far) AS far FROM (
+                SELECT r, lang, sqrt(sum(
+                    CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END
+                ) / 2) AS far
+                FROM (SELECT r, k, n / sum(n) OVER (PARTITION BY r) AS p FROM classes WHERE r IN (SELECT r FROM base WHERE chars >= 200))
+                JOIN class_shares USING (k) GROUP BY r, lang
+            ) GROUP BY r
+        ),
+        plain AS (
+            SELECT r, trim(translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?"''()') AS w, count(*) AS n
+            FROM word GROUP BY 1, 2
+        ),
+        common AS (
+            SELECT lang, w, n FROM (
+                SELECT lang, w, sum(n) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS place
+                FROM plain JOIN taught USING (r) WHERE w <> '' GROUP BY lang, w
+            ) WHERE place <= 100
+        ),
+        word_refs AS (
+            SELECT lang, w, n FROM common UNION ALL
+            SELECT lang, '', every - coalesce(named, 0)
+            FROM (SELECT lang, sum(n) AS every FROM plain JOIN taught USING (r) GROUP BY lang)
+            LEFT JOIN (SELECT lang, sum(n) AS named FROM common GROUP BY lang) USING (lang)
+        ),
+        word_shares AS (SELECT lang, w, n / sum(n) OVER (PARTITION BY lang) AS q FROM word_refs),
+        long AS (SELECT r, n_words FROM base WHERE n_words >= 150),
+        asked AS (
+            SELECT r, lang, w, q, coalesce(plain.n, 0) / n_words AS p
+            FROM long CROSS JOIN word_shares LEFT JOIN plain USING (r, w) WHERE w <> ''
+        ),
+        binned AS (
+            SELECT r, lang, p, q FROM asked UNION ALL
+            SELECT r, lang, 1 - sum(p), 1 - sum(q) FROM asked GROUP BY r, lang
+        ),
+        word_far AS (
+            SELECT r, min(far) AS far FROM (
+                SELECT r, lang, sqrt(sum(
+                    CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END
+                ) / 2) AS far FROM binned GROUP BY r, lang
+            ) GROUP BY r
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+                   AND coalesce(c.far, 0) <= 0.3 AND coalesce(w.far, 0) <= 0.4 AS kept
+        FROM base LEFT JOIN class_far c USING (r) LEFT JOIN word_far w USING (r)
     """,
 }
