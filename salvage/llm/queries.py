@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from salvage.llm import (
-    exact, language, neighbours, packing, quality, rules, sentencepieces, shards, simhash, token_files, toxicity,
+    conversations, exact, language, neighbours, packing, quality, rules, sentencepieces, shards, simhash, token_files, toxicity,
 )
 from salvage.llm.common import forget_at_exit
 from salvage.session import scratch_dir
@@ -69,6 +69,10 @@ def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(_table(spark, sf_dir, "conversations")), "there")
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return rules.scored(docs, rules.references(docs)).drop("class_distance", "word_distance")
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_sharding": sharded_documents,
     "op9_toxicity": toxicity_scores,
     "op10_simhash": simhash_components,
+    "op12_conversation_repair": repaired_conversations,
     "op13_quality_rules": quality_rules,
     "pipeline": corpus_pipeline_rows,
 }
@@ -102,7 +107,94 @@ ORACLES = {
                    first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id
             FROM d
         )
-    """,    "op13_quality_rules": """
+    """,    "op12_conversation_repair": """
+        WITH RECURSIVE source AS (
+            -- crc32, bit by bit: a byte of the key is added, then eight steps (-1) follow
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(
+                       string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                       lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                       lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END
+                   ), 4294967295) % 20 AS fault
+            FROM conversations
+        ),
+        kept AS (
+            SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(CASE fault WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM source WHERE fault <> 0
+        ),
+        numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+                   right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last
+            FROM kept
+        ),
+        judged AS (
+            SELECT *, last = '' AS blank, last <> '' AND again AS duplicate,
+                   last NOT IN ('', '.', '!', '?') AND NOT again AS truncated,
+                   left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before
+            FROM numbered
+        ),
+        facts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+                   count_if(duplicate) AS duplicate, count_if(truncated) AS truncated,
+                   count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+            FROM judged GROUP BY conv_id
+        ),
+        inserted(state, letters, reached, price) AS (VALUES
+            ('-', '', '-', 0), ('-', 'I', 'u', 3), ('-', 'II', 'a', 6), ('s', '', 's', 0), ('s', 'I', 'u', 3), ('s', 'II', 'a', 6),
+            ('u', '', 'u', 0), ('u', 'I', 'a', 3), ('a', '', 'a', 0), ('a', 'I', 'u', 3)
+        ),
+        follows(state, after) AS (VALUES ('-', 's'), ('-', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+        edits AS (
+            SELECT reached, 'D' AS letter, reached AS after FROM (SELECT DISTINCT reached FROM inserted) UNION ALL
+            SELECT state, 'K', after FROM follows UNION ALL
+            SELECT state, 'R', after FROM follows WHERE after <> 's'
+        ),
+        best AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS place, '-' AS state, CAST(0 AS BIGINT) AS cost, '' AS audit FROM facts
+            UNION ALL
+            SELECT conv_id, place, after, min(cost), arg_min(audit, (cost, audit)) FROM (
+                SELECT j.conv_id, j.place, e.after, b.audit || i.letters || e.letter AS audit,
+                       b.cost + i.price + CASE e.letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+                           + CASE WHEN j.truncated AND e.letter <> 'D' THEN 3 ELSE 0 END AS cost
+                FROM best b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.place = b.place + 1
+                JOIN inserted i ON i.state = b.state JOIN edits e USING (reached)
+                WHERE e.letter = 'D' OR NOT (j.blank OR j.duplicate) AND (e.letter = 'R' OR e.after = j.initial)
+            ) GROUP BY conv_id, place, after
+        ),
+        ended AS (
+            SELECT b.conv_id, min(cost + price) AS cost, arg_min(audit || letters, (cost + price, audit || letters)) AS audit
+            FROM best b JOIN facts f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.n = b.place JOIN inserted i USING (state)
+            WHERE i.reached IN ('-', 'a') GROUP BY b.conv_id
+        ),
+        letter AS (SELECT conv_id, unnest(string_split(audit, '')) AS x, generate_subscripts(string_split(audit, ''), 1) AS k FROM ended),
+        placed AS (
+            SELECT conv_id, x, k, count_if(x <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS place,
+                   count_if(x <> 'D') OVER (PARTITION BY conv_id ORDER BY k) AS out
+            FROM letter WHERE x <> ''
+        ),
+        written AS (
+            SELECT p.conv_id, k, x, out, j.role, j.text,
+                   max(CASE WHEN out = 1 AND x = 'K' AND j.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS opened
+            FROM placed p LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.place = p.place WHERE x <> 'D'
+        ),
+        texts AS (
+            SELECT conv_id, string_agg(
+                CASE WHEN x = 'K' THEN role WHEN (out - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+                || CASE WHEN x = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS repaired
+            FROM written GROUP BY conv_id
+        )
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+               coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
+    "op13_quality_rules": """
         WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
         spelt AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
         word AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM spelt),
