@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from salvage.llm import (
-    conversations, exact, language, neighbours, packing, quality, rules, sentencepieces, shards, simhash, token_files, toxicity,
+    conversations, exact, language, neighbours, packing, quality, ranked, rules, sentencepieces, shards, simhash, token_files, toxicity,
 )
 from salvage.llm.common import forget_at_exit
 from salvage.session import scratch_dir
@@ -69,6 +69,10 @@ def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def ranked_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(conversations.damaged(_table(spark, sf_dir, "conversations")), "there")
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op8_sharding": sharded_documents,
     "op9_toxicity": toxicity_scores,
     "op10_simhash": simhash_components,
+    "op11_ranked_search": ranked_benchmark,
     "op12_conversation_repair": repaired_conversations,
     "op13_quality_rules": quality_rules,
     "pipeline": corpus_pipeline_rows,
@@ -107,7 +112,40 @@ ORACLES = {
                    first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id
             FROM d
         )
-    """,    "op12_conversation_repair": """
+    """,    "op11_ranked_search": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        spelt AS (
+            SELECT r, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+            FROM d
+        ),
+        lengths AS (SELECT r, count(*) AS n FROM spelt GROUP BY r),
+        corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+        asked AS (
+            SELECT DISTINCT item_id, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')),
+                                               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+            FROM benchmark
+        ),
+        postings AS (SELECT r, term, count(*) AS tf FROM spelt WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM postings, corpus GROUP BY term, docs
+        ),
+        impacts AS (
+            SELECT r, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)) AS impact
+            FROM postings JOIN lengths USING (r), corpus
+        ),
+        scored AS (
+            SELECT item_id, r, CAST(sum(w * impact) AS BIGINT) AS score
+            FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY item_id, r
+        )
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT item_id, doc_id, score,
+                   CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+            FROM scored JOIN d USING (r) WHERE score > 0
+        ) WHERE rank <= 10
+    """,
+    "op12_conversation_repair": """
         WITH RECURSIVE source AS (
             -- crc32, bit by bit: a byte of the key is added, then eight steps (-1) follow
             SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
