@@ -6,15 +6,11 @@ pair, so a listing of millions of files needs no driver loop and no file-system
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-from urllib.parse import quote
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salvage.operators.skew import hot_keys, lookup_join
+from salvage.sources.files import hash_files, list_files
 
 # File classes and what is said about them.
 FRONT_END, DATA, UNKNOWN = "likely-front-end", "likely-data", "unknown"
@@ -34,10 +30,6 @@ STALE_ON_OPEN = (
 REMAPPED = "Linked database path was remapped to a local sibling file"
 UNRESOLVED = "Linked database could not be resolved: "
 
-# Files above this size are hashed in chunks instead of being held in memory whole.
-HASH_WHOLE_LIMIT = 64 * 1024 * 1024
-_CHUNK = 8 * 1024 * 1024
-
 
 def base_name(path: Column, separators: str = r"/\\") -> Column:
     return F.regexp_extract(path, f"[^{separators}]*$", 0)
@@ -48,67 +40,20 @@ def extension(file_name: Column) -> Column:
     return F.when(file_name.contains("."), F.lower(F.substring_index(file_name, ".", -1))).otherwise("unknown")
 
 
-def dump_catalog(
-    spark: SparkSession, path: str, hashed: bool = True, hash_whole_limit: int = HASH_WHOLE_LIMIT
-) -> DataFrame:
-    """A1: name, extension, size and SHA-256 of every file below ``path``.
+def dump_catalog(spark: SparkSession, path: str, hashed: bool = True) -> DataFrame:
+    """A1: ``path``, name, extension, size, SHA-256 and ``reason`` of every file below ``path``.
 
-    Without hashing the file contents are never read. With it, the size filter reaches the file source, so
-    small files are hashed by Spark and only large ones are streamed in chunks by a task each. Names
-    starting with ``_`` or ``.`` are markers of other jobs and not listed.
+    Executors list the folders and stream each file once, whatever its size and store (``files.py``). A file
+    that cannot be read is a row with a reason and without a hash. Without hashing no file is opened.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.unionByName(_empty_files(files))
+    listed = list_files(spark, path)
+    found = hash_files(listed) if hashed else listed
     name = F.substring_index("path", "/", -1)
-    facts = [
-        F.col("path"),
-        name.alias("file_name"),
-        extension(name).alias("extension"),
-        F.col("length").alias("size_bytes"),
-    ]
-    if not hashed:
-        return files.select(*facts)
-    small = files.where(F.col("length") <= hash_whole_limit).select(
-        *facts, F.sha2("content", 256).alias("sha256")
-    )
-    large = files.where(F.col("length") > hash_whole_limit).select(*facts)
-    schema = "path string, file_name string, extension string, size_bytes bigint, sha256 string"
-    return small.unionByName(large.mapInArrow(_hash_large_files, schema))
-
-
-def _empty_files(files: DataFrame) -> DataFrame:
-    """Files without a byte, which Spark's file sources pass over, as rows of the binary source.
-
-    Only the path list that Spark keeps on the driver for the scan anyway is compared with the scan.
-    """
-    uris = files.sparkSession.createDataFrame([(uri,) for uri in files.inputFiles()], "uri string")
-    decoded = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
-    listed = uris.select(F.regexp_replace(decoded, "^file:///", "file:/").alias("path"))
-    return listed.join(files.select("path"), "path", "left_anti").select(
-        "path",
-        F.lit(None).cast("timestamp").alias("modificationTime"),
-        F.lit(0).cast("bigint").alias("length"),
-        F.lit(b"").alias("content"),
+    return found.select(
+        "path", name.alias("file_name"), extension(name).alias("extension"), "size_bytes", *(["sha256"] if hashed else []), "reason"
     )
 
 
-def _hash_large_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyarrow import fs
-
-    for batch in batches:
-        digests = []
-        for uri in batch.column("path").to_pylist():
-            digest = hashlib.sha256()
-            scheme, _, rest = uri.partition(":")
-            rest = rest if rest.startswith("//") else "//" + rest
-            system, location = fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
-            with system.open_input_stream(location) as stream:
-                while chunk := stream.read(_CHUNK):
-                    digest.update(chunk)
-            digests.append(digest.hexdigest())
-        yield batch.append_column("sha256", pa.array(digests, pa.string()))
-
-
 def dump_class(file_name: Column) -> Column:
     upper = F.upper(file_name)
     return F.when(upper.contains("SYS"), FRONT_END).when(upper.contains("TBL"), DATA).otherwise(UNKNOWN)

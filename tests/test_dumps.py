@@ -4,32 +4,60 @@ import os
 import pytest
 
 from salvage.sources import dumps
+from salvage.sources import files as files_module
 
 
 def files(spark, *pairs):
     return spark.createDataFrame(list(pairs), "dir string, file_name string")
 
 
-def test_catalog_hashes_whole_and_in_chunks(spark, tmp_path):
-    (tmp_path / "sub dir").mkdir()
-    contents = {"a.MDB": b"x" * 10, "sub dir/b": b"", "sub dir/e+1 %.x": b"", "_marker": b"y", "sub dir/c.d.Txt": os.urandom(300_000)}
-    for name, blob in contents.items():
-        (tmp_path / name).write_bytes(blob)
-    want = {
-        (name.rsplit("/")[-1], len(blob), hashlib.sha256(blob).hexdigest()) for name, blob in contents.items() if name != "_marker"
-    }
-    for limit in (dumps.HASH_WHOLE_LIMIT, 1000, -1):
-        rows = dumps.dump_catalog(spark, str(tmp_path), hash_whole_limit=limit).collect()
-        assert {(r["file_name"], r["size_bytes"], r["sha256"]) for r in rows} == want
-    assert {r["file_name"]: r["extension"] for r in rows} == {
-        "a.MDB": "mdb", "b": "unknown", "c.d.Txt": "txt", "e+1 %.x": "x",
+def test_catalog_lists_and_hashes_every_file(spark, tmp_path):
+    contents = {
+        "a.MDB": b"x" * 10, "sub dir/b": b"", "sub dir/e+1 %.x": b"", "_marker": b"y", ".hidden.mdb": b"z", "sub dir/c.d.Txt": os.urandom(3_000_000),
+        "_folder/.deep/ü [1]*?{a}.accdb": b"w\n", "sub dir/back\\slash.gz": b"not compressed", "sub dir/_x.bz2": os.urandom(100), "empty/none/x": b"1",
     }
-
-
-def test_catalog_without_hash_reads_no_content(spark, tmp_path):
+    for name, blob in {**contents, "_SUCCESS": b"", "sub dir/_SUCCESS": b"", "_temporary/0/part": b"gone"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(blob)
+    (tmp_path / "nothing").mkdir()
+    rows = dumps.dump_catalog(spark, str(tmp_path)).collect()
+    want = {(name.rsplit("/")[-1], len(blob), hashlib.sha256(blob).hexdigest(), None) for name, blob in contents.items()}
+    assert {(r["file_name"], r["size_bytes"], r["sha256"], r["reason"]) for r in rows} == want and len(rows) == len(want)
+    kinds = {r["file_name"]: r["extension"] for r in rows}
+    assert (kinds["a.MDB"], kinds["b"], kinds["c.d.Txt"], kinds[".hidden.mdb"]) == ("mdb", "unknown", "txt", "mdb")
+    assert all(r["path"].endswith(r["file_name"]) and "://" in r["path"] or r["path"].startswith("file:/") for r in rows)
+
+
+def test_an_unreadable_file_or_folder_is_a_row_with_a_reason(spark, tmp_path):
+    for name in ("a.mdb", "b.mdb", "c.mdb"):
+        (tmp_path / name).write_bytes(name.encode())
+    listed = files_module.list_files(spark, str(tmp_path)).cache()
+    assert listed.count() == 3
+    (tmp_path / "b.mdb").unlink()
+    (tmp_path / "c.mdb").write_bytes(b"longer than before")
+    got = {r["path"].rsplit("/", 1)[-1]: r for r in files_module.hash_files(listed.coalesce(1)).collect()}
+    listed.unpersist()
+    assert got["a.mdb"]["sha256"] == hashlib.sha256(b"a.mdb").hexdigest() and got["a.mdb"]["reason"] is None
+    assert got["b.mdb"]["sha256"] is None and "No such file" in got["b.mdb"]["reason"]
+    assert got["c.mdb"]["sha256"] == hashlib.sha256(b"longer than before").hexdigest()
+    assert (got["c.mdb"]["size_bytes"], got["c.mdb"]["reason"]) == (18, "size differs from the listing")
+    gone = dumps.dump_catalog(spark, str(tmp_path / "nowhere")).collect()
+    assert [(r["file_name"], r["sha256"]) for r in gone] == [("nowhere", None)] and gone[0]["reason"]
+
+
+def test_catalog_of_a_store_that_only_hadoop_reads(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "_a.mdb").write_bytes(b"x" * 1000)
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.dumps.link./lake", f"file://{tmp_path}/in")
+    rows = dumps.dump_catalog(spark, "viewfs://dumps/lake").collect()
+    assert [(r["path"], r["sha256"]) for r in rows] == [("viewfs://dumps/lake/_a.mdb", hashlib.sha256(b"x" * 1000).hexdigest())]
+
+
+def test_catalog_without_hash_opens_no_file(spark, tmp_path):
     (tmp_path / "a.mdb").write_bytes(b"x")
     df = dumps.dump_catalog(spark, str(tmp_path), hashed=False)
-    assert "content" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.columns == ["path", "file_name", "extension", "size_bytes", "reason"]
     assert df.first()["size_bytes"] == 1
 
 
