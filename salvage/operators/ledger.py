@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from salvage.functions import sql_text
 from salvage.operators.corpus import SUCCESS_BAR, TRANSLATION_NOTE, translation_status
 from salvage.operators.skew import lookup_join
-from salvage.options import UnpackOptions
+from salvage.options import FORMATS, UnpackOptions
 from salvage.session import local_rows, union_all
 
 COVERAGE = "category string, name string, status string, confidence double, reason string, details map<string,string>"
@@ -53,9 +53,20 @@ def table_coverage(
     with_schema: bool = True,
     keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """A row per table. A table with a failed export, or one that cannot be counted, is not a success."""
-    failed = F.lit(False)
-    if exports is not None:
+    """A row per table. A table with a failed export, or one that cannot be counted, is not a success.
+
+    Exports with a ``sha256`` leave it in the details, as ``csvSha256``, ``jsonSha256`` and ``parquetSha256``.
+    """
+    failed, sums = F.lit(False), {}
+    if exports is not None and "sha256" in exports.columns:
+        sums = {f"{kind.lower()}Sha256": F.col(f"_{kind}") for kind in FORMATS}
+        by_table = exports.groupBy(*keys, F.col("table").alias("name")).agg(
+            F.max(F.col("status") != "SUCCESS").alias("_failed"),
+            *[F.max(F.when(F.col("format") == kind, F.col("sha256"))).alias(f"_{kind}") for kind in FORMATS],
+        )
+        inventory = inventory.join(by_table, [*keys, "name"], "left")
+        failed = F.coalesce("_failed", F.lit(False))
+    elif exports is not None:
         bad = exports.where(F.col("status") != "SUCCESS").select(*keys, F.col("table").alias("name")).distinct()
         inventory = inventory.join(bad.withColumn("_failed", F.lit(True)), [*keys, "name"], "left")
         failed = F.coalesce("_failed", F.lit(False))
@@ -67,6 +78,9 @@ def table_coverage(
     }
     if with_schema:
         details["schemaPath"] = F.concat(F.lit("schema/tables/slug="), F.col("slug"))
+    told = _map(**details)
+    if sums:
+        told = F.map_concat(told, F.map_filter(_map(**sums), lambda _, value: value.isNotNull()))
     return inventory.select(
         *keys,
         F.lit("table").alias("category"),
@@ -77,7 +91,7 @@ def table_coverage(
         .when(failed, TABLE_PARTIAL_REASON)
         .otherwise(TABLE_REASON)
         .alias("reason"),
-        _map(**details).alias("details"),
+        told.alias("details"),
     )
 
 

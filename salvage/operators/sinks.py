@@ -13,7 +13,7 @@ from salvage.functions.text import BOM, CHARSETS, WIDE_CHARSET_SETTINGS, wide_ch
 from salvage.functions.values import normalize_values, sorted_keys, stringify
 from salvage.options import FORMATS
 from salvage.session import PARALLEL_JOBS, local_rows, side_by_side
-from salvage.sources.dumps import dump_catalog
+from salvage.sources.files import hash_files, list_files
 from salvage.sources.tables import by_name
 
 # Quoting as in RFC 4180, no trimming, null written as nothing.
@@ -151,11 +151,60 @@ def export_diagnostics(ledger: DataFrame) -> DataFrame:
     )
 
 
-def artifact_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every exported part file; markers and hidden files are not artifacts."""
-    files = dump_catalog(spark, path)
-    visible = ~F.col("file_name").startswith("_") & ~F.col("file_name").startswith(".")
-    return files.where(visible).select("path", "file_name", "size_bytes", "sha256")
+PARTS = "artifact string, part string, size_bytes bigint, sha256 string, reason string"
+
+
+def artifact_checksums(spark: SparkSession, *paths: str) -> DataFrame:
+    """SHA-256 of every exported part file below the paths; markers and hidden files are not artifacts.
+
+    ``artifact`` is the folder of a part, ``part`` its name; a part that cannot be read has a ``reason`` and no hash.
+    """
+    files = hash_files(list_files(spark, *paths))
+    part = F.substring_index("path", "/", -1)
+    visible = ~part.startswith("_") & ~part.startswith(".") | F.col("reason").isNotNull()
+    folder = F.col("path").substr(F.lit(1), F.char_length("path") - F.char_length(part) - 1)
+    return files.where(visible).select(folder.alias("artifact"), part.alias("part"), "size_bytes", "sha256", "reason")
+
+
+def hash_tree(parts: DataFrame, *keys: str) -> DataFrame:
+    """One hash for all parts of each of ``keys`` (their artifact): ``n_parts``, ``n_bytes`` and ``sha256``.
+
+    The leaves are the parts' hashes, each with its name. They hang on 256 nodes by the name, and a node's hash is that of
+    its leaves in order; the root's is that of the nodes. So no list is longer than a 256th of the parts, and a change is found
+    by comparing nodes before parts. A tree with an unreadable part has no hash.
+    """
+    keys = keys or ("artifact",)
+    leaf = F.concat_ws(":", "part", "sha256")
+    nodes = parts.groupBy(*keys, F.substring(F.sha2("part", 256), 1, 2).alias("node")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes"), F.count_if(F.col("sha256").isNull()).alias("lost"),
+        F.sha2(F.array_join(F.array_sort(F.collect_list(leaf)), "\n"), 256).alias("hash"),
+    )
+    node = F.concat_ws(":", "node", "hash")
+    whole = F.sha2(F.array_join(F.array_sort(F.collect_list(node)), "\n"), 256)
+    return nodes.groupBy(*keys).agg(
+        F.sum("n").alias("n_parts"), F.sum("bytes").alias("n_bytes"), F.when(F.sum("lost") == 0, whole).alias("sha256")
+    )
+
+
+def changed_parts(recorded: DataFrame, present: DataFrame) -> DataFrame:
+    """What became of recorded parts: ``artifact, part, state``, which is ``changed``, ``missing``, ``unreadable`` or ``new``."""
+    place = ["artifact", "part"]
+    now = present.select(*place, F.col("sha256").alias("_now"), F.lit(True).alias("_there"))
+    both = recorded.select(*place, "sha256", F.lit(True).alias("_recorded")).join(now, place, "full")
+    state = (
+        F.when(F.col("_there").isNull(), "missing").when(F.col("_now").isNull(), "unreadable")
+        .when(F.col("_recorded").isNull(), "new").when(~F.col("_now").eqNullSafe(F.col("sha256")), "changed")
+    )
+    return both.select(*place, state.alias("state")).where("state IS NOT NULL")
+
+
+def with_checksums(exports: DataFrame, parts: DataFrame) -> DataFrame:
+    """The ledger of ``export_tables`` with the hash of every artifact that was written whole."""
+    # An artifact's folder ends in the ledger's path, whatever the store calls what is before it.
+    path = F.concat_ws("/", F.element_at(F.split("artifact", "/"), -2), F.element_at(F.split("artifact", "/"), -1))
+    sums = hash_tree(parts).select(path.alias("path"), F.col("sha256").alias("_sum"))
+    found = exports.join(sums, "path", "left").withColumn("sha256", F.when(F.col("status") == "SUCCESS", F.col("_sum")))
+    return found.select(*exports.columns, "sha256")
 
 
 def _tagged(value: Column) -> Column:

@@ -324,6 +324,14 @@ CAST(c_acctbal AS VARCHAR) AS field, c_mktsegment AS c_custkey_3 FROM customer""
         for t in GIVEN
         for f in ("CSV", "JSON", "PARQUET")
     ),
+    "export_checksums": _union(
+        f"SELECT '{t}' AS \"table\", '{f}' AS format, true AS agrees, count(*) >= 0 AS has_bytes FROM {t}"
+        for t in GIVEN
+        for f in ("CSV", "JSON", "PARQUET")
+    ),
+    "dump_hashes": _union(
+        f"SELECT '{t}' AS table_name, true AS hash_form, true AS agrees, count(*) >= 0 AS same_size FROM {t}" for t in GIVEN
+    ),
     "encode_texts": f"""SELECT 'UTF8' AS encoding, doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, text AS decoded FROM documents
 UNION ALL SELECT 'UTF8_BOM', doc_id, strlen(text) + 3, text FROM documents
 UNION ALL SELECT unnest(['WINDOWS_31J', 'SHIFT_JIS']), doc_id, length(text), {ASCII_ONLY} FROM documents""",

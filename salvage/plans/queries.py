@@ -79,6 +79,21 @@ def dump_catalog(spark, sf):
     return dumps.dump_catalog(spark, sf).select("file_name", "extension", "size_bytes", "sha256")
 
 
+@query
+def dump_hashes(spark, sf):
+    """Every file's hash from the catalog beside one that Spark's own binary reader took; a table's files are one row."""
+    found = dumps.dump_catalog(spark, sf).withColumn("hash_form", F.col("sha256").rlike("^[0-9a-f]{64}$"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf)
+    again = files.select(F.regexp_replace("path", "^file:/+", "/").alias("place"), F.sha2("content", 256).alias("again"), "length")
+    found = found.withColumn("place", F.regexp_replace("path", "^file:/+", "/")).join(again, "place", "full")
+    table = F.regexp_extract(F.coalesce("place", F.lit("")), r"([^/]+)\.parquet", 1)
+    return found.groupBy(table.alias("table_name")).agg(
+        F.bool_and(F.coalesce("hash_form", F.lit(False))).alias("hash_form"),
+        F.bool_and(F.coalesce(F.col("sha256") == F.col("again"), F.lit(False))).alias("agrees"),
+        F.bool_and(F.coalesce(F.col("size_bytes") == F.col("length"), F.lit(False))).alias("same_size"),
+    )
+
+
 @query
 def dump_classes(spark, sf):
     return dumps.classify_dumps(shape(spark, sf, "dump_files"))
@@ -277,6 +292,25 @@ def artifact_checksums(spark, sf):
     return sinks.artifact_checksums(spark, f"{out}/data")
 
 
+@query
+def export_checksums(spark, sf):
+    """The hash tree of every export, beside one over hashes that another reader took of the same files."""
+    out = scratch_dir(spark, "hash-tree")
+    exports = sinks.export_tables(spark, given_tables(spark, sf), out)
+    parts = sinks.artifact_checksums(spark, f"{out}/data")
+    found = sinks.with_checksums(exports, parts).select("table", "format", "path", "sha256")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{out}/data")
+    steps = F.split("path", "/")
+    again = files.select(
+        F.concat_ws("/", F.element_at(steps, -3), F.element_at(steps, -2)).alias("path"), F.element_at(steps, -1).alias("part"),
+        F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"),
+    )
+    twice = sinks.hash_tree(again, "path").select("path", F.col("sha256").alias("again"), "n_bytes")
+    return found.join(twice, "path", "left").select(
+        "table", "format", F.coalesce(F.col("sha256") == F.col("again"), F.lit(False)).alias("agrees"), (F.col("n_bytes") > 0).alias("has_bytes")
+    )
+
+
 @query
 def fingerprint_saved_queries(spark, sf):
     return sinks.content_fingerprint(shape(spark, sf, "saved_queries"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Collection, Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salvage.functions.names import distinct_slugs
@@ -73,6 +73,7 @@ class _Run:
         self.coverage: list[DataFrame] = []
         self.diagnostics = [ledger.fidelity_diagnostics(spark, options.full_fidelity)]
         self.counted: dict[str, DataFrame] = {}
+        self.exported: list[str] = []
 
     def _path(self, name: str) -> str:
         return f"{self.options.output.rstrip('/')}/{name}"
@@ -127,13 +128,23 @@ class _Run:
                 self.spark, readable, options.output.rstrip("/"), options.formats,
                 options.text_encoding, options.typed_parquet, slugs, options.parallel_jobs,
             )
-            self._write((exports, "data-ledger", "json"))
+            exports = self._checked(exports)
             self.diagnostics.append(sinks.export_diagnostics(exports))
         if options.extract_schema:
             self.step = "schema"
             self._schema(readable, listing)
         self.coverage.append(ledger.table_coverage(listing, exports, options.extract_schema))
 
+    def _checked(self, exports: DataFrame) -> DataFrame:
+        """The exports with their checksums; hashes of all parts and the ledger are written, and read back."""
+        self.exported = written = [self._path(r.path) for r in exports.where("status = 'SUCCESS'").select("path").collect()]
+        if written:
+            self._write((sinks.artifact_checksums(self.spark, *written), "data-checksums", "json"))
+            parts = self.spark.read.schema(sinks.PARTS).json(self._path("data-checksums"))
+            exports = sinks.with_checksums(exports, parts)
+        self._write((exports, "data-ledger", "json"))
+        return self.spark.read.schema(exports.schema).json(self._path("data-ledger"))
+
     def _schema(self, readable: Mapping[str, DataFrame], listing: DataFrame) -> None:
         declared = self.declared
         key_rows = [(k.table, k.name, k.primary_key, k.unique, list(k.columns)) for k in declared.keys]
@@ -226,7 +237,12 @@ class _Run:
         self._write((union_all(self.coverage), "coverage", "json"))
         coverage = spark.read.schema(ledger.COVERAGE).json(self._path("coverage"))
         if options.validate:
-            missing = ledger.missing_artifacts(ledger.referenced_artifacts(coverage), self._present())
+            referenced, present = ledger.referenced_artifacts(coverage), self._present()
+            if self.exported:
+                parts = spark.read.schema(sinks.PARTS).json(self._path("data-checksums"))
+                referenced = referenced.unionByName(_part_references(parts))
+                present = present.unionByName(self._files("data").select(_within("path", 3).alias("path")))
+            missing = ledger.missing_artifacts(referenced, present)
             self.diagnostics.append(ledger.validation_diagnostics(missing))
         diagnostics = ledger.diagnostics_ledger(*self.diagnostics, stamped=True)
         counts = ledger.inventory_counts(spark, self.counted)
@@ -258,11 +274,24 @@ class _Run:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self._path("schema/tables"))
         if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
             return local_rows(self.spark, [], "path string")
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
-            self._path("schema/tables")
-        )
         folder = F.regexp_extract("path", r"(schema/tables/[^/]+)/[^/]*$", 1)
-        return files.select(folder.alias("path"))
+        return self._files("schema/tables").select(folder.alias("path"))
+
+    def _files(self, name: str) -> DataFrame:
+        return self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self._path(name))
+
+
+def _within(path: str, steps: int) -> Column:
+    """The last steps of a path, whatever its store is called."""
+    return F.array_join(F.slice(F.split(path, "/"), -steps, steps), "/")
+
+
+def _part_references(parts: DataFrame) -> DataFrame:
+    """The recorded part files of all exports as references that validation looks for."""
+    return parts.select(
+        F.lit("export").alias("category"), F.element_at(F.split("artifact", "/"), -1).alias("name"),
+        _within("artifact", 2).alias("folder"), "part",
+    ).select("category", "name", F.concat_ws("/", "folder", "part").alias("path"))
 
 
 def unpack_many(

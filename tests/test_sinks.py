@@ -1,6 +1,8 @@
 import codecs
 import glob
+import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +95,45 @@ def test_checksums_skip_markers(spark, tmp_path):
     assert len(rows) == len(parts(tmp_path / "t")) == 2 and all(len(r["sha256"]) == 64 for r in rows)
 
 
+def test_hash_tree_is_made_of_part_hashes(spark, tmp_path):
+    ledger = sinks.export_tables(spark, {"t": spark.range(50).repartition(9), "u v": spark.range(3)}, str(tmp_path), ["JSON", "CSV"])
+    found = sinks.artifact_checksums(spark, str(tmp_path / "data")).cache()
+
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    for row in sinks.with_checksums(ledger, found).collect():
+        nodes = {}
+        for path in parts(tmp_path / row["path"]):
+            name = os.path.basename(path)
+            with open(path, "rb") as file:
+                nodes.setdefault(sha(name)[:2], []).append(f"{name}:{hashlib.sha256(file.read()).hexdigest()}")
+        assert nodes
+        hashes = sorted(f"{node}:{sha(chr(10).join(sorted(leaves)))}" for node, leaves in nodes.items())
+        assert row["sha256"] == sha("\n".join(hashes))
+
+    recorded = found.collect()
+    found.unpersist()
+    before = spark.createDataFrame(recorded, found.schema)
+    assert sinks.changed_parts(before, sinks.artifact_checksums(spark, str(tmp_path / "data"))).count() == 0
+    changed, gone = (p for p in sorted(parts(tmp_path / "data/t.json"))[:2])
+    for crc in glob.glob(str(tmp_path / "data/t.json/.*.crc")):
+        os.remove(crc)
+    with open(changed, "a") as file:
+        file.write("x")
+    os.remove(gone)
+    (tmp_path / "data/t.json/part-new").write_text("y")
+    states = {r["part"]: r["state"] for r in sinks.changed_parts(before, sinks.artifact_checksums(spark, str(tmp_path / "data"))).collect()}
+    assert states == {os.path.basename(changed): "changed", os.path.basename(gone): "missing", "part-new": "new"}
+
+
+def test_a_tree_with_an_unreadable_part_has_no_hash(spark):
+    rows = [("a", "p1", 1, "x", None), ("a", "p2", 1, None, "lost"), ("b", "p1", 1, "x", None)]
+    found = {r["artifact"]: r["sha256"] for r in sinks.hash_tree(spark.createDataFrame(rows, sinks.PARTS)).collect()}
+    assert found["a"] is None and len(found["b"]) == 64
+    assert sinks.hash_tree(spark.createDataFrame([], sinks.PARTS)).count() == 0
+
+
 def test_fingerprint_ignores_order_and_layout_but_not_values(spark):
     df = spark.range(500).selectExpr("id", "concat('r', id % 7) AS t", "IF(id % 5 = 0, NULL, id) AS n")
     first = sinks.content_fingerprint(df).first()

@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from salvage.operators import audit
+from salvage.operators import audit, sinks
 from salvage.options import EVERYTHING, SCHEMA_ONLY, UnpackOptions
 from salvage.plans import unpack as plan
 from salvage.plans.unpack import Declarations, labelled, unpack, unpack_many
@@ -55,6 +55,10 @@ def test_everything(spark, source, declared, tmp_path):
     )
     edges = {(r["from"], r["to"]) for r in spark.read.json(f"{out}/queries/dependency-graph").collect()}
     assert edges == {("Q 1", "Main Table"), ("q 3", "child SET a")}
+    details = {r["name"]: r["details"] for r in result.coverage.where("category = 'table'").collect()}
+    for name, slug in (("Main Table", "main-table"), ("child", "child")):
+        trees = {r["artifact"].rsplit("/", 1)[-1]: r["sha256"] for r in sinks.hash_tree(sinks.artifact_checksums(spark, f"{out}/data")).collect()}
+        assert {k: details[name][f"{k}Sha256"] for k in ("csv", "json", "parquet")} == {k: trees[f"{slug}.{k}"] for k in ("csv", "json", "parquet")}
     schemas = {r["name"]: r for r in spark.read.json(f"{out}/schema/tables").collect()}
     assert schemas["Main Table"]["slug"] == "main-table" and schemas["Main Table"]["row_count"] == 2
     assert spark.read.json(f"{out}/schema/linked-tables").first()["name"] == "child"
@@ -134,6 +138,19 @@ def test_a_lost_artifact_is_reported(spark, source, tmp_path, monkeypatch):
     assert (warning["code"], warning["details"]["count"]) == ("VALIDATION_MISSING_ARTIFACTS", "2")
 
 
+def test_a_lost_part_of_an_export_is_reported(spark, source, declared, tmp_path, monkeypatch):
+    out, checked = str(tmp_path / "out"), plan._Run._checked
+
+    def loses_a_part(run, exports):
+        result = checked(run, exports)
+        os.remove(glob.glob(f"{out}/data/child.csv/part-*")[0])
+        return result
+
+    monkeypatch.setattr(plan._Run, "_checked", loses_a_part)
+    result = unpack(spark, EVERYTHING.at(source, out), declared)
+    assert [(r["code"], r["details"]["count"]) for r in result.diagnostics.collect()] == [("VALIDATION_MISSING_ARTIFACTS", "1")]
+
+
 def test_many_sources(spark, source, declared, tmp_path):
     sources = {
         "good": SCHEMA_ONLY.at(source, str(tmp_path / "o1")),
