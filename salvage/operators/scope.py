@@ -19,12 +19,15 @@ def _listed(selection: Selection) -> list[str]:
 def select_objects(
     df: DataFrame, selected: Selection, name_col: str = "name", hot: DataFrame | None = None
 ) -> DataFrame:
-    """Rows whose name is selected, by exact case; no selection, or an empty list, selects everything.
+    """Rows whose name is selected, by exact case; no selection, or an empty one of either form, selects everything.
 
     A list becomes an ``IN`` filter that reaches the scan. A DataFrame of names is a semi join instead,
-    with hot names (``hot``, where they are known already) spread out, as its length is not known.
+    with hot names (``hot``, where they are known already) spread out, as its length is not known; only whether it has a row
+    is asked beforehand.
     """
     if isinstance(selected, DataFrame):
+        if selected.isEmpty():
+            return df
         names = selected.toDF(name_col).distinct()
         return lookup_join(df, names, [name_col], "left_semi", hot).select(*df.columns)
     names = _listed(selected)
@@ -34,6 +37,8 @@ def select_objects(
 def selected_names(spark: SparkSession, names: Iterable[str], selected: Selection) -> set[str]:
     """The same test for names that the driver holds; a DataFrame is asked once for all of them."""
     if isinstance(selected, DataFrame):
+        if selected.isEmpty():
+            return set(names)
         listing = local_rows(spark, [(name,) for name in names], "name string")
         return {row["name"] for row in listing.join(selected.toDF("name"), "name", "left_semi").collect()}
     wanted = _listed(selected)
