@@ -344,6 +344,16 @@ UNION ALL SELECT unnest(['WINDOWS_31J', 'SHIFT_JIS']), doc_id, length(text), {AS
     "query_warnings": f"{_with('saved_queries')} SELECT query_id, unnest({WARNINGS}) AS warning FROM saved_queries",
     "query_dependencies": f"""{_with('saved_queries')}
 SELECT query_id, array_to_string({DEPENDENCIES}, '|') AS dependencies FROM saved_queries""",
+    "query_dependencies_strict": _with("hidden_names") + r"""
+, tokens AS (SELECT query_id, list_filter(
+    regexp_extract_all(sql, '''[^'']*''|"[^"]*"|--[^\n]*|/\*(?s:.*?)\*/|\[[^\]]*\]|[\p{L}\p{N}_]+|[^\s]'),
+    lambda t: NOT regexp_matches(t, '^(--|/\*.)')) AS t FROM hidden_names),
+named AS (SELECT query_id, i, trim(CASE WHEN starts_with(t[i + 1], '[') THEN t[i + 1][2:-2] ELSE t[i + 1] END) AS name
+    FROM tokens, unnest(range(1, len(t))) AS u(i)
+    WHERE lower(t[i]) IN ('from', 'join', 'update', 'into') AND regexp_full_match(t[i + 1], '\[[^\]]+\]|[\p{L}\p{N}_]+')),
+firsts AS (SELECT query_id, name, min(i) AS i FROM named GROUP BY 1, 2)
+SELECT h.query_id, CAST(CASE WHEN name IS NOT NULL THEN row_number() OVER (PARTITION BY h.query_id ORDER BY i) - 1 END AS INTEGER) AS place, name
+FROM hidden_names h LEFT JOIN firsts f ON f.query_id = h.query_id""",
     "dependency_edges": f"""{_with('saved_queries')} SELECT query_id, name AS "from", unnest({DEPENDENCIES}) AS "to",
 'query-depends-on' AS type FROM saved_queries""",
     "query_translations": f"""{_with('saved_queries')} SELECT query_id, {TRANSLATED} AS translated, {CONFIDENCE} AS confidence,

@@ -345,6 +345,12 @@ def query_dependencies(spark, sf):
     return found.select("query_id", F.array_join("dependencies", "|").alias("dependencies"))
 
 
+@query
+def query_dependencies_strict(spark, sf):
+    found = corpus.query_dependencies(shape(spark, sf, "hidden_names"), "strict")
+    return found.select("query_id", F.posexplode_outer("dependencies").alias("place", "name"))
+
+
 @query
 def dependency_edges(spark, sf):
     return corpus.dependency_edges(shape(spark, sf, "saved_queries"), ("query_id",))

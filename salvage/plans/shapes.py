@@ -41,6 +41,14 @@ ELSE '' END AS sql FROM {part}""",
 SELECT -1 - doc_id AS query_id, 'memo ' || lang || '/' || source || ' ' || CAST(doc_id AS VARCHAR(20)) AS name,
 CASE doc_id % 2 WHEN 0 THEN text ELSE 'SELECT a FROM [' || text || '] WHERE b LIKE ''*c*''' END AS sql
 FROM {documents}""",
+    "hidden_names": """
+SELECT p_partkey AS query_id, CASE p_partkey % 6
+WHEN 0 THEN 'SELECT * FROM [' || p_name || '|' || p_brand || '] INNER JOIN [' || p_type || ']'
+WHEN 1 THEN 'SELECT ''copied from ' || p_type || ''' FROM ' || p_brand || ' WHERE x = ' || chr(34) || 'join ' || p_name || chr(34)
+WHEN 2 THEN 'SELECT a -- from ' || p_name || chr(10) || 'FROM [' || p_name || '-' || CAST(p_size AS VARCHAR(20)) || ']'
+WHEN 3 THEN '/* into ' || p_type || chr(10) || ' */ UPDATE [' || p_name || '''s] SET a = ''it''''s from ' || p_brand || ''''
+WHEN 4 THEN 'SELECT [from] x FROM ' || p_type || ' JOIN ' || p_type || ' INTO b' || CAST(p_size AS VARCHAR(20))
+ELSE 'FROM ''open from ' || p_name END AS sql FROM {part}""",
     "saved_queries": "SELECT * FROM ({part_queries}) a UNION ALL SELECT * FROM ({memo_queries}) b",
     "dump_files": """
 SELECT 'db' || CAST(c_custkey AS VARCHAR(20)) AS source_id,

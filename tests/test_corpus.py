@@ -73,6 +73,12 @@ def test_warnings(spark, sql, want):
         ("from (select", [], []),
         ("UPDATE 水利 SET", ["水利 SET"], ["水利"]),
         ("from [ x ] join\n\ty", ["x", "y"], ["x", "y"]),
+        ("FROM [A|B] join [C'D] INTO [a \x1f | b]", ["A", "C", "a"], ["A|B", "C'D", "a \x1f | b"]),
+        ("SELECT 'from x' FROM y WHERE a = \"join z\"", ["x", "y WHERE a", "z"], ["y"]),
+        ("FROM a -- from b\njoin c /* update d\n */ into e", ["a", "b", "c", "d", "e"], ["a", "c", "e"]),
+        ("FROM /* x */ a, 'it''s from q' [from] b from 'c'", ["q"], ["a"]),
+        ("from 'open FROM t", ["t"], ["t"]),
+        ("fromx from2 a inner join[b]", [], ["b"]),
         ("", [], []),
         (None, [], []),
     ],
