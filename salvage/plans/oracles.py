@@ -262,6 +262,11 @@ CASE WHEN {CONFIDENCE} >= 0.5 THEN 'success' ELSE 'partial' END]) FROM saved_que
 UNION ALL SELECT source_id, unnest(['unsupported', 'unsupported', 'unsupported', 'unsupported'])
 FROM (SELECT DISTINCT source_id FROM lake_tables))"""
 
+LAKE_TABLES = [
+    *(("one", t, "parquet", "true") for t in ("nation", "customer", "orders", "events")),
+    ("two", "customer", "parquet", "c_custkey % 2 = 0"), ("two", "conversations", "csv", "true"), ("two", "part", "json", "true"),
+]
+
 ORACLES = {
     "dump_classes": f"{_with('dump_files')} SELECT *, {DUMP_CLASS} AS classification, {HEADLINE} AS headline FROM dump_files",
     "dump_siblings": f"""{_with('dump_files')}, {SIBLINGS}
@@ -332,6 +337,16 @@ CAST(c_acctbal AS VARCHAR) AS field, c_mktsegment AS c_custkey_3 FROM customer""
     "dump_hashes": _union(
         f"SELECT '{t}' AS table_name, true AS hash_form, true AS agrees, count(*) >= 0 AS same_size FROM {t}" for t in GIVEN
     ),
+    "lake_tables_inventory": _union(
+        f"SELECT '{source}' AS source_id, '{t}' AS name, '{t}' AS slug, '{kind}' AS format, count(*) AS row_count, "
+        f"true AS has_bytes, CAST(NULL AS VARCHAR) AS reason FROM {t} WHERE {kept}"
+        for source, t, kind, kept in LAKE_TABLES
+    ),
+    "lake_columns": _union(
+        f"SELECT '{source}' AS source_id, '{t}' AS \"table\", {i} AS position, '{c}' AS name, '{c.replace('_', '-')}' AS slug"
+        for source, t, kind, _ in LAKE_TABLES if kind == "parquet"
+        for i, (c, _) in enumerate(_columns(t), 1)
+    ),
     "encode_texts": f"""SELECT 'UTF8' AS encoding, doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, text AS decoded FROM documents
 UNION ALL SELECT 'UTF8_BOM', doc_id, strlen(text) + 3, text FROM documents
 UNION ALL SELECT unnest(['WINDOWS_31J', 'SHIFT_JIS']), doc_id, length(text), {ASCII_ONLY} FROM documents""",

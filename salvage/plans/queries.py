@@ -19,6 +19,7 @@ from salvage.plans.shapes import given, given_tables, properties, shape
 from salvage.plans.unpack import Declarations, unpack
 from salvage.session import scratch_dir, union_all
 from salvage.sources import dumps, tables
+from salvage.sources import lake as lakes
 from salvage.streaming.corpus_stream import stream_queries, write_query_models
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +95,28 @@ def dump_hashes(spark, sf):
     )
 
 
+def _written_lake(spark, sf) -> str:
+    """The given tables as a lake of two sources, with a table in each format."""
+    lake = scratch_dir(spark, "lake")
+    for name in ("nation", "customer", "orders", "events"):
+        given(spark, sf, name).write.parquet(f"{lake}/one/{name}.parquet")
+    given(spark, sf, "customer").where("c_custkey % 2 = 0").write.parquet(f"{lake}/two/customer.parquet")
+    given(spark, sf, "conversations").write.options(header=True, escape='"').csv(f"{lake}/two/conversations.csv")
+    given(spark, sf, "part").write.json(f"{lake}/two/part.json")
+    return lake
+
+
+@query
+def lake_tables_inventory(spark, sf):
+    found = lakes.lake_table_inventory(spark, _written_lake(spark, sf))
+    return found.select("source_id", "name", "slug", "format", "row_count", (F.col("size_bytes") > 0).alias("has_bytes"), "reason")
+
+
+@query
+def lake_columns(spark, sf):
+    return lakes.lake_columns(spark, _written_lake(spark, sf)).select("source_id", "table", "position", "name", "slug")
+
+
 @query
 def dump_classes(spark, sf):
     return dumps.classify_dumps(shape(spark, sf, "dump_files"))
