@@ -112,8 +112,8 @@ def nearest(
 
     Equal vectors are one node of the index: only the ``k + 1`` smallest ids of each can be among anyone's nearest, so
     no others are carried along, and queries with equal vectors are searched once. Buckets over ``bucket_rows`` members
-    are split, and their queries copied to every part; each part passes on its best ``k + 1`` only. The
-    vectors a query meets are a fixed share of all rows for given parameters; ``depth`` 2 squares the number of
+    are split, and their queries copied to every part; each part passes on its best ``k + 1`` only. A query that meets
+    no more than ``k`` nodes is compared with all of them, so small tables are searched exactly. The vectors a query meets are a fixed share of all rows for given parameters; ``depth`` 2 squares the number of
     buckets for larger tables. Vectors are expected to be of similar length, as embeddings are: the hash sees their
     direction only.
     """
@@ -217,15 +217,32 @@ def nearest(
             )
         return pa.concat_tables(found)
 
-    met = (
-        asked.select("node", "vector", *group).groupBy(*group)
-        .cogroup(index.select("node", "vector", *group).groupBy(*group))
-        .applyInArrow(compared, "query long, node long, score double")
-    )
-    best = met.groupBy("query", "node").agg(F.max("score").alias("score"))
-    by_query = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    best = best.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k + 1).drop("place")
-    best = written(best, "nearest-nodes")
+    def best_met(asked_: DataFrame, index_: DataFrame, *group_: str) -> DataFrame:
+        met = (
+            asked_.select("node", "vector", *group_).groupBy(*group_)
+            .cogroup(index_.select("node", "vector", *group_).groupBy(*group_))
+            .applyInArrow(compared, "query long, node long, score double")
+        )
+        by_query = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+        met = met.groupBy("query", "node").agg(F.max("score").alias("score"))
+        return met.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k + 1).drop("place")
+
+    best = written(best_met(asked, index, *group), "nearest-nodes")
+    # Queries whose buckets hold too few nodes, as in small tables, are compared with all nodes, block by block.
+    met = best.groupBy(F.col("query").alias("node")).agg(F.count(F.lit(1)).alias("met"))
+    short = queries.join(met, "node", "left").where(F.coalesce("met", F.lit(0)) < k + 1).select("node", "vector")
+    short = written(short, "short-queries")
+    n_short = short.count()
+    if n_short:
+        blocks, shares = -(-n_short // bucket_rows), -(-nodes.count() // bucket_rows)
+        block, share = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("node"), F.lit(shares)).cast("int")
+        every_share, every_block = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (shares, blocks))
+        exact = best_met(
+            short.withColumn("block", block).withColumn("share", every_share),
+            nodes.withColumn("share", share).withColumn("block", every_block), "block", "share",
+        )
+        others = best.join(short.select(F.col("node").alias("query")), "query", "left_anti")
+        best = written(others.unionByName(exact), "completed-nodes")
     spread = best.join(members.select("node", "vec_id"), "node").select(F.col("query").alias("node"), "vec_id", "score")
     answers = asking.select("query_id", "node").join(spread, "node").where("query_id <> vec_id")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -262,6 +262,25 @@ def test_neighbours(spark, sf):
     assert neighbours.nearest(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 15, 25, 45])
+def test_small_tables_are_searched_exactly(spark, sf, n):
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").limit(n)
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    ids, matrix = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    by_query = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), bucket_rows=8).collect():
+        by_query[r.query_id].append((r.rank, r.vec_id))
+    expected = {}
+    for q in ids[ids % 20 == 0].tolist():
+        scores = matrix @ matrix[list(ids).index(q)]
+        best = [i for i in ids[np.lexsort((ids, -scores.round(12)))].tolist() if i != q]
+        if best:
+            expected[q] = list(enumerate(best[:20], 1))
+    if n < 22:
+        assert {q: sorted(own) for q, own in by_query.items()} == expected
+    assert {q: len(own) for q, own in by_query.items()} == {q: len(own) for q, own in expected.items()}
+
+
 def test_language_model_is_prediction_by_partial_matching(spark, real, odd):
     def brute(texts, order):
         lower = {k: re.sub(b"[A-Z]", lambda m: m[0].lower(), (t or "").encode()) for k, t in texts}
