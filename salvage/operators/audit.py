@@ -46,23 +46,23 @@ class Relationship:
     cascade_updates: bool = False
 
 
-def declared_keys(keys: DataFrame, selected: Selection = None) -> DataFrame:
+def declared_keys(keys: DataFrame, selected: Selection = None, by: tuple[str, ...] = ()) -> DataFrame:
     """The index listing. It follows the selection but not the system flag."""
-    listing = keys.select("table", "name", "primary_key", "unique", "columns")
+    listing = keys.select(*by, "table", "name", "primary_key", "unique", "columns")
     return select_objects(listing, selected, "table")
 
 
-def declared_relationships(rels: DataFrame, selected: Selection = None) -> DataFrame:
+def declared_relationships(rels: DataFrame, selected: Selection = None, by: tuple[str, ...] = ()) -> DataFrame:
     """The relationship listing."""
     listing = rels.select(
-        "name", "from_table", "to_table", "from_columns", "to_columns", "cascade_deletes", "cascade_updates"
+        *by, "name", "from_table", "to_table", "from_columns", "to_columns", "cascade_deletes", "cascade_updates"
     )
     return relationships_in_scope(listing, selected)
 
 
-def constraints(rels: DataFrame, selected: Selection = None) -> DataFrame:
+def constraints(rels: DataFrame, selected: Selection = None, by: tuple[str, ...] = ()) -> DataFrame:
     """E5: relationships under their second name."""
-    return declared_relationships(rels, selected)
+    return declared_relationships(rels, selected, by)
 
 
 def _any_null(cols: Iterable[str]) -> Column:

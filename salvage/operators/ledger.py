@@ -185,6 +185,32 @@ def failed_database(spark: SparkSession, name: str, error: str) -> DataFrame:
     return local_rows(spark, [("database", name, "FAILED", 0.0, DATABASE_REASON, {"exception": error})], COVERAGE)
 
 
+def failed_sources(failures: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The same row for every source of a listing with the ``reason`` why it could not be opened."""
+    return failures.select(
+        *keys,
+        F.lit("database").alias("category"),
+        F.col(keys[0]).alias("name"),
+        F.lit("FAILED").alias("status"),
+        F.lit(0.0).alias("confidence"),
+        F.lit(DATABASE_REASON).alias("reason"),
+        _map(exception=F.col("reason")).alias("details"),
+    )
+
+
+def diagnostics_of(rows: DataFrame, code: Column, severity: str, message: Column, kind: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A row of the diagnostics ledger for each of the rows, whose object is named by a column."""
+    return rows.select(
+        *keys,
+        code.alias("code"),
+        F.lit(severity).alias("severity"),
+        message.alias("message"),
+        F.lit(kind).alias("object_type"),
+        F.col(name).alias("object_name"),
+        F.create_map().cast("map<string,string>").alias("details"),
+    )
+
+
 def coverage_ledger(
     spark: SparkSession,
     inventory: DataFrame | None = None,
@@ -328,9 +354,9 @@ def run_summary(coverage: DataFrame, diagnostics: DataFrame, keys: tuple[str, ..
     )
 
 
-def manifest(options: UnpackOptions, counts: DataFrame) -> DataFrame:
-    """F8: one nested row: what was asked for, and what was found. ``counts`` has one row per kind."""
-    found = counts.agg(
+def manifest(options: UnpackOptions, counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """F8: one nested row, or one per source: what was asked for, and what was found. ``counts`` has one row per kind."""
+    found = counts.groupBy(*keys).agg(
         F.struct(
             *[
                 F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(kind)
@@ -339,6 +365,7 @@ def manifest(options: UnpackOptions, counts: DataFrame) -> DataFrame:
         ).alias("inventory")
     )
     return found.select(
+        *keys,
         F.lit(options.input).alias("input"),
         F.lit(options.output).alias("output"),
         F.lit(options.text_encoding).alias("text_encoding"),
@@ -373,22 +400,29 @@ def db_info(files: DataFrame, properties: DataFrame, key: str = "source") -> Dat
     return listed.unionByName(bare.select(key, *facts), allowMissingColumns=True)
 
 
-def table_schemas(inventory: DataFrame, columns: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """one nested row per table.
+def table_schemas(
+    inventory: DataFrame, columns: DataFrame, indexes: DataFrame | None = None, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """one nested row per table, of one source or with ``keys`` of many.
 
-    What is gathered per table is its column list and its index list, which are schema-sized: the longest
-    one is as wide as the widest table.
+    ``created`` and ``updated`` are those of the inventory, if it has any. What is gathered per table is its column list and
+    its index list, which are schema-sized: the longest one is as wide as the widest table.
     """
-    column = F.struct("position", "name", "slug", "type", "length", "variable_length", "auto_number")
-    per_table = columns.groupBy(F.col("table").alias("name")).agg(
+    measured = ("length", "variable_length", "auto_number")
+    column = F.struct("position", "name", "slug", "type", *[c for c in measured if c in columns.columns])
+    per_table = columns.groupBy(*keys, F.col("table").alias("name")).agg(
         F.array_sort(F.collect_list(column)).alias("columns")
     )
-    result = inventory.select("name", "slug", "system_object", "row_count").join(per_table, "name", "left")
-    if keys is None:
+    dates = [
+        F.col(c) if c in inventory.columns else F.lit(None).cast("timestamp").alias(c) for c in ("created", "updated")
+    ]
+    listed = inventory.select(*keys, "name", "slug", "system_object", "row_count", *dates)
+    result = listed.join(per_table, [*keys, "name"], "left")
+    if indexes is None:
         return result.withColumn(
             "indexes",
             F.array().cast("array<struct<name:string,primary_key:boolean,unique:boolean,columns:array<string>>>"),
         )
     index = F.struct("name", "primary_key", "unique", "columns")
-    indexes = keys.groupBy("table").agg(F.array_sort(F.collect_list(index)).alias("indexes"))
-    return result.join(indexes.withColumnRenamed("table", "name"), "name", "left")
+    gathered = indexes.groupBy(*keys, F.col("table").alias("name")).agg(F.array_sort(F.collect_list(index)).alias("indexes"))
+    return result.join(gathered, [*keys, "name"], "left")

@@ -42,12 +42,19 @@ def export_csv(df: DataFrame, path: str, encoding: str = "UTF8") -> None:
 
     The byte order mark goes in front of the first header name, so every part file starts with it.
     """
-    charset, bom = CHARSETS[encoding]
+    with _charset_scope(df.sparkSession, encoding):
+        _csv_text(df, encoding).write.mode("overwrite").options(**_csv_form(encoding)).csv(path)
+
+
+def _csv_text(df: DataFrame, encoding: str) -> DataFrame:
     text = stringify(df)
-    if bom and text.columns:
+    if CHARSETS[encoding][1] and text.columns:
         text = text.toDF(BOM + text.columns[0], *text.columns[1:])
-    with _charset_scope(df.sparkSession, encoding):
-        text.write.mode("overwrite").options(**_CSV_DIALECT, encoding=charset, lineSep="\r\n").csv(path)
+    return text
+
+
+def _csv_form(encoding: str) -> dict[str, str]:
+    return {**_CSV_DIALECT, "encoding": CHARSETS[encoding][0], "lineSep": "\r\n"}
 
 
 def read_csv(spark: SparkSession, path: str, columns: Iterable[str], encoding: str = "UTF8") -> DataFrame:
@@ -67,18 +74,39 @@ def read_csv(spark: SparkSession, path: str, columns: Iterable[str], encoding: s
 
 def export_json(df: DataFrame, path: str) -> None:
     """One object per line, keys sorted and nulls left out at every level."""
+    _json_objects(df).write.mode("overwrite").json(path)
+
+
+def _json_objects(df: DataFrame) -> DataFrame:
     normalized = normalize_values(df)
     plain = normalized.toDF(*[f"_{i}" for i in range(len(normalized.columns))])
     ordered = sorted(enumerate(normalized.schema.fields), key=lambda item: item[1].name)
-    plain.select(
-        *[sorted_keys(F.col(f"_{i}"), field.dataType).alias(field.name) for i, field in ordered]
-    ).write.mode("overwrite").json(path)
+    return plain.select(*[sorted_keys(F.col(f"_{i}"), field.dataType).alias(field.name) for i, field in ordered])
 
 
 def export_parquet(df: DataFrame, path: str, typed: bool = False) -> None:
     """Safe column names, original ones as comments; text columns, or the source types if ``typed``."""
-    frame = df if typed else stringify(df)
-    safe_columns(frame).write.mode("overwrite").option("compression", "snappy").parquet(path)
+    _parquet_columns(df, typed).write.mode("overwrite").option("compression", "snappy").parquet(path)
+
+
+def _parquet_columns(df: DataFrame, typed: bool) -> DataFrame:
+    return safe_columns(df if typed else stringify(df))
+
+
+def export_partitioned(
+    df: DataFrame, path: str, kind: str, places: Iterable[str], encoding: str = "UTF8", typed: bool = False
+) -> None:
+    """C1-C3 for the rows of many tables of one schema: the text columns ``places``, the last ones, say whose row it is, and
+    become folders. An export is the same as that of its table alone, but one job writes them all.
+    """
+    forms = {
+        "CSV": lambda: (_csv_text(df, encoding), _csv_form(encoding)),
+        "JSON": lambda: (_json_objects(df), {}),
+        "PARQUET": lambda: (_parquet_columns(df, typed), {"compression": "snappy"}),
+    }
+    with _charset_scope(df.sparkSession, encoding):
+        frame, form = forms[kind]()
+        frame.write.mode("overwrite").options(**form).partitionBy(*places).format(kind.lower()).save(path)
 
 
 def _writers(encoding: str, typed: bool) -> dict[str, Callable[[DataFrame, str], None]]:
@@ -137,11 +165,12 @@ def _write_sidecar(spark: SparkSession, path: str, slug: str, reason: str) -> No
     sidecar.coalesce(1).write.mode("overwrite").json(path)
 
 
-def export_diagnostics(ledger: DataFrame) -> DataFrame:
+def export_diagnostics(ledger: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """A warning per export that failed."""
     failed = ledger.where(F.col("status") != "SUCCESS")
     format_name = F.when(F.col("format") == "PARQUET", "Parquet").otherwise(F.col("format"))
     return failed.select(
+        *keys,
         F.concat(F.col("format"), F.lit("_EXPORT_PARTIAL")).alias("code"),
         F.lit("warning").alias("severity"),
         F.concat(format_name, F.lit(" export failed for table "), F.col("table")).alias("message"),

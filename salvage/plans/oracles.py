@@ -255,10 +255,12 @@ def _unpacked(queries: bool) -> str:
     return f"{_with('saved_queries')}, coverage{COVERAGE_HEAD} AS ({_union([*rows, UNRECOVERED])}) SELECT * FROM coverage"
 
 
+LAKE_RELATIONSHIPS = "SELECT 'db' || CAST(CAST(substr(name, 4) AS BIGINT) % 100 AS VARCHAR) AS source_id FROM lake_relationships"
 LAKE_ENTRIES = f"""entries AS (
 SELECT source_id, CASE WHEN row_count < 0 THEN 'failed' ELSE 'success' END AS status FROM lake_tables
 UNION ALL SELECT 'db' || CAST((query_id % 100 + 100) % 100 AS VARCHAR), unnest(['success',
 CASE WHEN {CONFIDENCE} >= 0.5 THEN 'success' ELSE 'partial' END]) FROM saved_queries
+UNION ALL SELECT source_id, 'success' FROM ({LAKE_RELATIONSHIPS})
 UNION ALL SELECT source_id, unnest(['unsupported', 'unsupported', 'unsupported', 'unsupported'])
 FROM (SELECT DISTINCT source_id FROM lake_tables))"""
 
@@ -267,6 +269,24 @@ LAKE_TABLES = [
     ("two", "customer", "parquet", "c_custkey % 2 = 0"), ("two", "conversations", "csv", "true"), ("two", "part", "json", "true"),
 ]
 
+
+
+def _lake_run() -> str:
+    rows = [
+        f"SELECT '{source}' AS source_id, 'table' AS category, '{t}' AS name, 'SUCCESS' AS status, CAST(0.95 AS DOUBLE) AS confidence, "
+        f"CAST(count(*) AS VARCHAR) AS \"rowCount\", true AS hashed FROM {t} WHERE {kept}"
+        for source, t, _, kept in LAKE_TABLES
+    ]
+    rows += [
+        "SELECT 'two', 'table', 'broken', 'FAILED', 0.0, '-1', false",
+        "SELECT CASE WHEN query_id % 2 = 0 THEN 'one' ELSE 'two' END, 'query', name, 'SUCCESS', 0.85, NULL, false FROM saved_queries",
+        "SELECT CASE WHEN CAST(substr(name, 4) AS BIGINT) % 2 = 0 THEN 'one' ELSE 'two' END, 'relationship', name, 'SUCCESS', 0.9, NULL, false "
+        "FROM lake_relationships",
+        "SELECT s, unnest(['forms', 'reports', 'macros', 'vba']), '*', 'UNSUPPORTED', 0.0, NULL, false FROM (VALUES ('one'), ('two')) v(s)",
+    ]
+    return f"{_with('saved_queries', 'lake_relationships')} {_union(rows)}"
+
+
 ORACLES = {
     "dump_classes": f"{_with('dump_files')} SELECT *, {DUMP_CLASS} AS classification, {HEADLINE} AS headline FROM dump_files",
     "dump_siblings": f"""{_with('dump_files')}, {SIBLINGS}
@@ -347,6 +367,7 @@ CAST(c_acctbal AS VARCHAR) AS field, c_mktsegment AS c_custkey_3 FROM customer""
         for source, t, kind, _ in LAKE_TABLES if kind == "parquet"
         for i, (c, _) in enumerate(_columns(t), 1)
     ),
+    "unpack_of_lake": _lake_run(),
     "encode_texts": f"""SELECT 'UTF8' AS encoding, doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, text AS decoded FROM documents
 UNION ALL SELECT 'UTF8_BOM', doc_id, strlen(text) + 3, text FROM documents
 UNION ALL SELECT unnest(['WINDOWS_31J', 'SHIFT_JIS']), doc_id, length(text), {ASCII_ONLY} FROM documents""",
@@ -398,15 +419,16 @@ FROM lake_relationships""",
     "coverage_ledger": f"{_with('lake_tables', 'lake_relationships', 'saved_queries')}, {COVERAGE} SELECT * FROM coverage",
     "coverage_summary": f"""{_with('lake_tables', 'lake_relationships', 'saved_queries')}, {COVERAGE}
 SELECT lower(status) AS status, count(*) AS n FROM coverage GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM coverage""",
-    "lake_counts": f"""{_with('lake_tables', 'saved_queries')}, counted AS (
+    "lake_counts": f"""{_with('lake_tables', 'saved_queries', 'lake_relationships')}, counted AS (
 SELECT source_id, unnest(['tables', 'queries', 'relationships', 'forms', 'reports', 'macros', 'modules']) AS kind, 0 AS n
 FROM (SELECT DISTINCT source_id FROM lake_tables)
 UNION ALL SELECT source_id, 'tables', 1 FROM lake_tables WHERE NOT system_object
-UNION ALL SELECT 'db' || CAST((query_id % 100 + 100) % 100 AS VARCHAR), 'queries', 1 FROM saved_queries)
+UNION ALL SELECT 'db' || CAST((query_id % 100 + 100) % 100 AS VARCHAR), 'queries', 1 FROM saved_queries
+UNION ALL SELECT source_id, 'relationships', 1 FROM ({LAKE_RELATIONSHIPS}))
 SELECT source_id, kind, CAST(sum(n) AS BIGINT) AS n FROM counted GROUP BY 1, 2""",
     "lake_objects": f"""{_with('lake_tables')} SELECT source_id, printf('- `table` `%s` `%s` confidence=%.2f', name,
 CASE WHEN row_count < 0 THEN 'FAILED' ELSE 'SUCCESS' END, CASE WHEN row_count < 0 THEN 0.0 ELSE 0.95 END) AS line FROM lake_tables""",
-    "lake_summary": f"""{_with('lake_tables', 'saved_queries')}, {LAKE_ENTRIES}, incomplete AS (
+    "lake_summary": f"""{_with('lake_tables', 'saved_queries', 'lake_relationships')}, {LAKE_ENTRIES}, incomplete AS (
 SELECT DISTINCT source_id AS id FROM lake_tables t WHERE NOT EXISTS (SELECT 1 FROM lake_tables p
 WHERE p.source_id = t.source_id AND p.slug = t.slug AND p.column_count % 9 <> 0)),
 sizes AS (SELECT source_id, count(*) AS coverage_entries FROM entries GROUP BY 1)
@@ -414,7 +436,7 @@ SELECT source_id, coverage_entries, CAST(CASE WHEN id IS NULL THEN 0 ELSE 1 END
 CAST(0 AS BIGINT) AS errors, 0 AS exit_code,
 CASE WHEN id IS NULL THEN 'Completed cleanly' ELSE 'Completed with warnings' END AS status
 FROM sizes LEFT JOIN incomplete ON id = source_id""",
-    "lake_coverage": f"""{_with('lake_tables', 'saved_queries')}, {LAKE_ENTRIES}
+    "lake_coverage": f"""{_with('lake_tables', 'saved_queries', 'lake_relationships')}, {LAKE_ENTRIES}
 SELECT source_id, status, count(*) AS n FROM entries GROUP BY 1, 2
 UNION ALL SELECT source_id, 'total', count(*) FROM entries GROUP BY 1""",
     "diagnostics_ledger": f"""{_with('dump_files', 'links', 'saved_queries', 'lake_tables')}, {RESOLVED}, {MISSING}, {DIAGNOSTICS}

@@ -16,6 +16,7 @@ from salvage.functions.names import safe_columns, slugged
 from salvage.operators import audit, corpus, ledger, scope, sinks
 from salvage.options import EVERYTHING, SCHEMA_ONLY
 from salvage.plans.shapes import given, given_tables, properties, shape
+from salvage.plans.lake_run import LakeDeclarations, unpack_lake
 from salvage.plans.unpack import Declarations, unpack
 from salvage.session import scratch_dir, union_all
 from salvage.sources import dumps, tables
@@ -527,11 +528,15 @@ def _lake_queries(spark, sf) -> DataFrame:
     return shape(spark, sf, "saved_queries").select(of_source, "name", "sql")
 
 
+def _lake_relationships(spark, sf) -> DataFrame:
+    number = F.substring_index("name", "rel", -1).cast("bigint")
+    of_source = F.concat(F.lit("db"), F.pmod(number, F.lit(100)).cast("string")).alias("source_id")
+    return shape(spark, sf, "lake_relationships").select(of_source, "*")
+
+
 def _lake_coverage(spark, sf) -> DataFrame:
-    inventory = shape(spark, sf, "lake_tables")
-    return ledger.coverage_ledger(
-        spark, inventory, queries=_lake_queries(spark, sf), dialect=DIALECT, keys=LAKE, sources=inventory
-    )
+    inventory, rels = shape(spark, sf, "lake_tables"), _lake_relationships(spark, sf)
+    return ledger.coverage_ledger(spark, inventory, rels, _lake_queries(spark, sf), DIALECT, keys=LAKE, sources=inventory)
 
 
 @query
@@ -543,7 +548,9 @@ def lake_coverage(spark, sf):
 @query
 def lake_counts(spark, sf):
     inventory = shape(spark, sf, "lake_tables")
-    counted = {"tables": scope.drop_system(inventory), "queries": _lake_queries(spark, sf)}
+    counted = {
+        "tables": scope.drop_system(inventory), "queries": _lake_queries(spark, sf), "relationships": _lake_relationships(spark, sf)
+    }
     return ledger.counts_in_each(inventory, counted, LAKE)
 
 
@@ -655,6 +662,31 @@ def run_of_unpack(spark, sf):
     return _unpacked(spark, sf, EVERYTHING)
 
 
+def _lake_run(spark, sf):
+    """A run over the written lake, which has a table without a footer, with corpora and relationships of both sources."""
+    lake = _written_lake(spark, sf)
+    given(spark, sf, "part").select("p_name").write.text(f"{lake}/two/broken.parquet")
+
+    def source(number):
+        return F.when(number % 2 == 0, "one").otherwise("two").alias("source_id")
+
+    number = F.substring_index("name", "rel", -1).cast("bigint")
+    declared = LakeDeclarations(
+        queries=shape(spark, sf, "saved_queries").select(source(F.abs("query_id")), "name", "sql"),
+        relationships=shape(spark, sf, "lake_relationships").select(source(number), "*"),
+    )
+    return unpack_lake(spark, EVERYTHING.at(lake, scratch_dir(spark, "lake-run")), declared)
+
+
+@query
+def unpack_of_lake(spark, sf):
+    """Coverage of every object of a whole lake by one run."""
+    return _lake_run(spark, sf).coverage.select(
+        "source_id", "category", "name", "status", "confidence", F.col("details")["rowCount"].alias("rowCount"),
+        (F.col("details")["csvSha256"].isNotNull() & F.col("details")["jsonSha256"].isNotNull()).alias("hashed"),
+    )
+
+
 @query
 def unpack_schema_only(spark, sf):
     return _unpacked(spark, sf, SCHEMA_ONLY)
