@@ -16,6 +16,7 @@ from salvage.operators.corpus import SUCCESS_BAR, TRANSLATION_NOTE, translation_
 from salvage.operators.skew import lookup_join
 from salvage.options import FORMATS, UnpackOptions
 from salvage.session import local_rows, union_all
+from salvage.sources.files import written_once
 
 COVERAGE = "category string, name string, status string, confidence double, reason string, details map<string,string>"
 DIAGNOSTICS = (
@@ -392,8 +393,10 @@ def db_info(files: DataFrame, properties: DataFrame, key: str = "source") -> Dat
     """file facts with the properties of each file, one row per property.
 
     Long form on purpose: one source may hold a large share of all properties, which one map could not.
-    Files without properties keep one row.
+    Files without properties keep one row. Properties are parsed once, into a scratch table: finding hot sources, looking files up and
+    finding those without properties read that.
     """
+    properties = written_once(properties.select(key, "scope", "key", "value"), "db-info")
     facts = [c for c in files.columns if c != key]
     listed = lookup_join(properties, files, [key], "inner").select(key, *facts, "scope", "key", "value")
     bare = files.join(properties.select(key).distinct(), key, "left_anti")

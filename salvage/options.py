@@ -37,6 +37,7 @@ class UnpackOptions:
     extract_data: bool = True
     extract_queries: bool = True
     write_docs: bool = True
+    audit: bool = False
     selected_tables: Selection = None
     selected_queries: Selection = None
     typed_parquet: bool = False

@@ -15,14 +15,16 @@ from salvage.operators.scope import select_objects
 from salvage.options import UnpackOptions
 from salvage.session import local_rows, side_by_side, union_all
 from salvage.sources import tables as source_tables
-from salvage.sources.dumps import STALE_ON_OPEN, stale_link_hints
+from salvage.sources.dumps import STALE_ON_OPEN, dump_catalog, link_diagnostics, resolve_links, stale_link_hints
 
 
 @dataclass(frozen=True)
 class Declarations:
     """What a source says about itself beyond its tables.
 
-    ``queries`` is a corpus (``name``, ``sql``), which may be as large as any table; the other two are
+    ``queries`` is a corpus (``name``, ``sql``), which may be as large as any table, and so may be ``properties`` (``source``, which
+    is the name of a file below the input, ``scope`` and a map ``props``), ``linked_properties`` (``name`` and a map ``properties``) and
+    ``links`` (``source_dir``, ``linked_path``), which are looked up among the ``dir, file_name`` of ``dump_files``. The others are
     schema-sized listings.
     """
 
@@ -31,6 +33,10 @@ class Declarations:
     relationships: Iterable[audit.Relationship] = ()
     system: Collection[str] = ()
     linked: Collection[str] = ()
+    properties: DataFrame | None = None
+    linked_properties: DataFrame | None = None
+    links: DataFrame | None = None
+    dump_files: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -51,7 +57,10 @@ class UnpackResult:
 def unpack(
     spark: SparkSession, options: UnpackOptions, declared: Declarations | None = None
 ) -> UnpackResult:
-    """Inventory, export and audit one source; a failure is a ledger entry, not an exception.
+    """Inventory and export one source; a failure is a ledger entry, not an exception.
+
+    With ``options.audit`` the declared keys and relationships are checked against the data, and those that do not hold are
+    warnings. Links and file properties are looked up where they are declared.
 
     Every artifact is one Spark write below ``options.output``, and the returned ledgers read the written
     ones, so asking for them again repeats no work.
@@ -60,6 +69,8 @@ def unpack(
     run = _Run(spark, options, declared or Declarations())
     try:
         run.tables()
+        run.links()
+        run.info()
         run.queries()
     except Exception as error:
         run.failed(error)
@@ -96,7 +107,8 @@ class _Run:
         tables = source_tables.load_tables(
             self.spark, options.input, options.selected_tables, failures, source_tables.READERS, hidden
         )
-        rows, broken = source_tables.readable_tables(tables, options.parallel_jobs)
+        dates: dict[str, tuple] = {}
+        rows, broken = source_tables.readable_tables(tables, options.parallel_jobs, dates)
         failures.update(broken)
         readable = {name: tables[name] for name in rows}
         slugs = distinct_slugs([*rows, *failures])
@@ -110,10 +122,12 @@ class _Run:
                     name in declared.linked,
                     rows.get(name, source_tables.UNREADABLE),
                     len(readable[name].columns) if name in readable else 0,
+                    *dates.get(name, (None, None)),
                 )
                 for name in source_tables.by_name(slugs)
             ],
-            "name string, slug string, system_object boolean, linked boolean, row_count bigint, column_count int",
+            "name string, slug string, system_object boolean, linked boolean, row_count bigint, column_count int, "
+            "created timestamp, updated timestamp",
         )
         self.counted["tables"] = listing
         for name, message in failures.items():
@@ -133,6 +147,9 @@ class _Run:
         if options.extract_schema:
             self.step = "schema"
             self._schema(readable, listing)
+        if options.audit:
+            self.step = "audit"
+            self._audit(readable)
         self.coverage.append(ledger.table_coverage(listing, exports, options.extract_schema))
 
     def _checked(self, exports: DataFrame) -> DataFrame:
@@ -154,7 +171,7 @@ class _Run:
         selected = self.options.selected_tables
         self._write(
             (schemas, "schema/tables", "json", "slug"),
-            (audit.linked_tables(listing), "schema/linked-tables", "json"),
+            (audit.linked_tables(listing, declared.linked_properties), "schema/linked-tables", "json"),
             (audit.system_objects(listing), "schema/system-objects", "json"),
             (audit.declared_keys(keys, selected), "schema/indexes", "json"),
         )
@@ -181,6 +198,51 @@ class _Run:
                 )
             )
 
+    def _audit(self, readable: Mapping[str, DataFrame]) -> None:
+        """Declared keys and relationships against the data; one that names a missing table or column is a warning of its own."""
+        def columns(table: str) -> set[str]:
+            return set(readable[table].columns) if table in readable else set()
+
+        keys = [k for k in self.declared.keys if set(k.columns) <= columns(k.table) and k.columns]
+        rels = [
+            r for r in self.declared.relationships
+            if set(r.from_columns) <= columns(r.from_table) and set(r.to_columns) <= columns(r.to_table) and r.from_columns
+        ]
+        unknown = [("key", k.name) for k in self.declared.keys if k not in keys]
+        unknown += [("relationship", r.name) for r in self.declared.relationships if r not in rels]
+        for kind, name in unknown:
+            self.diagnostics.append(
+                ledger.diagnostic(self.spark, "AUDIT_NOT_POSSIBLE", "warning", "A table or column it names is not there", kind, name)
+            )
+        found = {}
+        if keys:
+            found["keys"] = audit.audit_keys(readable, keys), "KEY_DOES_NOT_HOLD", "key"
+        if rels:
+            found["relationships"] = audit.audit_relationships(readable, rels), "RELATIONSHIP_DOES_NOT_HOLD", "name"
+        self._write(*[(rows, f"audit/{what}", "json") for what, (rows, _, _) in found.items()])
+        for what, (rows, code, name) in found.items():
+            broken = self.spark.read.schema(rows.schema).json(self._path(f"audit/{what}")).where("NOT holds")
+            message = F.concat(F.lit("The data does not keep to "), F.col(name))
+            self.diagnostics.append(ledger.diagnostics_of(broken, F.lit(code), "warning", message, what.rstrip("s"), name))
+
+    def links(self) -> None:
+        declared = self.declared
+        if declared.links is None or declared.dump_files is None:
+            return
+        self.step = "links"
+        resolved = resolve_links(declared.links, declared.dump_files)
+        self._write((resolved, "links", "json"))
+        self.diagnostics.append(link_diagnostics(self.spark.read.schema(resolved.schema).json(self._path("links"))))
+
+    def info(self) -> None:
+        """Size, hash and properties of every file of the source."""
+        if self.declared.properties is None:
+            return
+        self.step = "info"
+        files = dump_catalog(self.spark, self.options.input).withColumnRenamed("file_name", "source")
+        files = files.select("source", "extension", "size_bytes", "sha256")
+        self._write((ledger.db_info(files, audit.property_rows(self.declared.properties)), "db-info", "json"))
+
     def queries(self) -> None:
         options = self.options
         if not options.extract_queries or self.declared.queries is None:

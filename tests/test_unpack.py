@@ -1,4 +1,5 @@
 import glob
+import hashlib
 import os
 
 import pytest
@@ -190,3 +191,35 @@ def test_a_scope_without_a_selection_is_refused(spark, source, tmp_path):
             unpack(spark, options)
     UnpackOptions(selected_queries=none, extract_queries=False).check_scopes()
     UnpackOptions(selected_tables=[]).check_scopes()
+
+
+def test_declared_links_properties_and_audits(spark, tmp_path):
+    source = tmp_path / "in"
+    spark.createDataFrame([(1, "x"), (1, "y"), (2, None)], "id int, t string").write.parquet(str(source / "t.parquet"))
+    spark.range(2).write.parquet(str(source / "u.parquet"))
+    (source / "back.mdb").write_bytes(b"abc")
+    (source / "other.mdb").write_bytes(b"")
+    declared = Declarations(
+        keys=[audit.Key("t", "pk_t", ("id",), True), audit.Key("u", "pk_u", ("id",), True), audit.Key("gone", "pk_gone", ("id",))],
+        relationships=[audit.Relationship("t_u", "t", "u", ("id",), ("id",))],
+        linked=("u",),
+        properties=spark.createDataFrame([("back.mdb", "user", {"Author": "A"})], "source string, scope string, props map<string,string>"),
+        linked_properties=spark.createDataFrame([("u", {"Connect": "x"})], "name string, properties map<string,string>"),
+        links=spark.createDataFrame([("/d", "C:\\old\\back.mdb"), ("/d", "/gone.mdb")], "source_dir string, linked_path string"),
+        dump_files=spark.createDataFrame([("/d", "back.mdb")], "dir string, file_name string"),
+    )
+    out = tmp_path / "out"
+    result = unpack(spark, UnpackOptions(str(source), str(out), audit=True, export_data="JSON"), declared)
+    found = sorted((r["code"], r["object_name"]) for r in result.diagnostics.collect())
+    assert found == [
+        ("AUDIT_NOT_POSSIBLE", "pk_gone"), ("DATABASE_OPEN_FAILED", "gone.mdb"), ("KEY_DOES_NOT_HOLD", "pk_t"),
+        ("LINKED_DB_REMAP", "back.mdb"), ("RELATIONSHIP_DOES_NOT_HOLD", "t_u"),
+    ]
+    info = {(r["source"], r["key"]): r for r in spark.read.json(str(out / "db-info")).collect()}
+    back = info["back.mdb", "Author"]
+    assert (back["size_bytes"], back["sha256"], back["value"]) == (3, hashlib.sha256(b"abc").hexdigest(), "A")
+    assert info["other.mdb", None]["sha256"] == hashlib.sha256(b"").hexdigest()
+    assert spark.read.json(str(out / "schema/linked-tables")).first()["properties"]["Connect"] == "x"
+    dates = {r["name"]: (r["created"], r["updated"]) for r in spark.read.json(str(out / "schema/tables")).collect()}
+    assert all(a and a <= b for a, b in dates.values()) and len(dates) == 2
+    assert (result.summary.first()["status"], result.summary.first()["errors"]) == ("Completed with issues", 1)
