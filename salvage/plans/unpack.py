@@ -103,9 +103,10 @@ class _Run:
         if not (options.extract_schema or options.extract_data):
             return
         failures: dict[str, str] = {}
+        unknown: dict[str, str] = {}
         hidden = () if options.include_system_objects else declared.system
         tables = source_tables.load_tables(
-            self.spark, options.input, options.selected_tables, failures, source_tables.READERS, hidden
+            self.spark, options.input, options.selected_tables, failures, source_tables.READERS, hidden, unknown
         )
         dates: dict[str, tuple] = {}
         rows, broken = source_tables.readable_tables(tables, options.parallel_jobs, dates)
@@ -135,6 +136,9 @@ class _Run:
                 ledger.diagnostic(self.spark, "PREFLIGHT_SCAN_FAILED", "warning", message, "table", name)
             )
 
+        for name, message in unknown.items():
+            self.diagnostics.append(ledger.diagnostic(self.spark, "TABLE_FORMAT_UNKNOWN", "warning", message, "file", name))
+
         exports = None
         if options.extract_data:
             self.step = "data"
