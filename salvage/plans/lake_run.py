@@ -2,7 +2,7 @@
 
 The same work as ``unpack`` for each source, but every step covers all sources: one listing, one scan of counts for each format, one
 export for each format and *shape* of table (tables with the same columns, as the copies of one application have them), and ledgers
-whose rows carry their ``source_id`` and are written partitioned by it.
+whose rows carry their ``source_id`` and are written partitioned by it; only the texts of the corpus are not, which would shuffle them.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ LAKE = ("source_id",)
 PLACES = ("lake_source", "lake_table")
 # Tables of one shape that one scan reads; the names of their folders go through the driver, as its file index does.
 TABLES_AT_ONCE = 10_000
+# Artifacts that hold texts of the corpus.
+CORPUS = "queries/"
 NOTHING_WRITTEN = "no rows came out"
 
 
@@ -106,8 +108,12 @@ class _LakeRun:
     def _write(self, *artifacts: tuple) -> None:
         def write(artifact: tuple) -> None:
             df, name, kind = artifact
-            # A source with a third of all rows fills several files, many small ones share a task.
-            df.hint("rebalance", *LAKE).write.mode("overwrite").partitionBy(*LAKE).format(kind).save(self._path(name))
+            if name.startswith(CORPUS):
+                # Texts of any length stay where they are: no shuffle, and the source is a column, as one task may hold many.
+                df.write.mode("overwrite").format(kind).save(self._path(name))
+            else:
+                # A source with a third of all rows fills several files, many small ones share a task.
+                df.hint("rebalance", *LAKE).write.mode("overwrite").partitionBy(*LAKE).format(kind).save(self._path(name))
 
         side_by_side(write, artifacts, self.options.parallel_jobs)
 
