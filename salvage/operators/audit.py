@@ -79,30 +79,42 @@ def _short(value: Column, kind: T.DataType) -> Column:
     )
 
 
-def _audit_key(df: DataFrame, key: Key) -> DataFrame:
-    # Equal keys combine on the map side, so a value that fills a third of the table is one row per task;
-    # only the key columns are read.
-    cols = [f"_k{i}" for i in range(len(key.columns))]
-    values = [_short(F.col(c), df.schema[c].dataType).alias(k) for c, k in zip(key.columns, cols)]
-    groups = df.groupBy(*values).agg(F.count(F.lit(1)).alias("_n"))
-    incomplete = _any_null(cols)
-    facts = groups.agg(
+def key_groups(df: DataFrame, columns: Iterable[Column], by: Iterable[Column] = ()) -> DataFrame:
+    """The different values of a key as ``_k0``, ``_k1``, ..., each with the number of its rows ``_n``.
+
+    Equal keys combine on the map side, so a value that fills a third of the table is one row per task; only the key columns are
+    read.
+    """
+    types = df.select(*columns).schema.fields
+    values = [_short(c, f.dataType).alias(f"_k{i}") for i, (c, f) in enumerate(zip(columns, types))]
+    return df.groupBy(*by, *values).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def key_facts(groups: DataFrame, width: int, by: Iterable[str] = ()) -> DataFrame:
+    """Rows, surplus rows and incomplete rows of a key of so many columns."""
+    incomplete = _any_null([f"_k{i}" for i in range(width)])
+    return groups.groupBy(*by).agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.when(~incomplete, F.col("_n") - 1)), F.lit(0)).alias("n_dup"),
         F.coalesce(F.sum(F.when(incomplete, F.col("_n"))), F.lit(0)).alias("n_null"),
     )
-    holds = F.lit(True)
-    if key.unique or key.primary_key:
-        holds = holds & (F.col("n_dup") == 0)
-    if key.primary_key:
-        holds = holds & (F.col("n_null") == 0)
+
+
+def key_holds(primary: str | Column, unique: str | Column) -> Column:
+    """Whether the facts of a key are those of a unique, or primary, one; missing flags ask for nothing."""
+    primary, unique = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(False)) for c in (primary, unique))
+    return (~(primary | unique) | (F.col("n_dup") == 0)) & (~primary | (F.col("n_null") == 0))
+
+
+def _audit_key(df: DataFrame, key: Key) -> DataFrame:
+    facts = key_facts(key_groups(df, [F.col(c) for c in key.columns]), len(key.columns))
     return facts.select(
         F.lit(key.table).alias("table"),
         F.lit(key.name).alias("key"),
         "n_rows",
         "n_dup",
         "n_null",
-        holds.alias("holds"),
+        key_holds(F.lit(key.primary_key), F.lit(key.unique)).alias("holds"),
     )
 
 

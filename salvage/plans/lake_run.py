@@ -19,6 +19,7 @@ from salvage.functions.text import encode_text
 from salvage.operators import audit, corpus, ledger, sinks
 from salvage.operators.scope import drop_system, select_objects
 from salvage.options import UnpackOptions
+from salvage.plans.lake_audit import LakeTables, audit_lake_keys, audit_lake_relationships
 from salvage.session import local_rows, side_by_side
 from salvage.sources import lake as lakes
 from salvage.sources.dumps import link_diagnostics, resolve_links, stale_link_hints
@@ -62,6 +63,8 @@ class LakeResult:
     counts: DataFrame
     manifest: DataFrame
     exports: DataFrame | None
+    key_audits: DataFrame | None = None
+    relationship_audits: DataFrame | None = None
 
     @property
     def summary(self) -> DataFrame:
@@ -101,6 +104,7 @@ class _LakeRun:
         ]
         self.counted: dict[str, DataFrame] = {}
         self.exports: DataFrame | None = None
+        self.audits: dict[str, DataFrame] = {}
 
     def _path(self, name: str) -> str:
         return f"{self.options.output.rstrip('/')}/{name}"
@@ -160,6 +164,39 @@ class _LakeRun:
             place = F.create_map(F.lit("schemaPath"), F.concat(F.lit("schema/tables/source_id="), F.col("source_id")))
             entries = entries.withColumn("details", F.map_concat("details", place))
         self.coverage.append(entries)
+        if options.audit:
+            self._audit(listing, {label.split("-")[0]: set(frame.columns) for label, (frame, _) in frames.items()})
+
+    def _audit(self, listing: DataFrame, columns: dict[str, set[str]]) -> None:
+        """Declared keys and relationships of all sources against their tables."""
+        options, declared = self.options, self.declared
+        readable = listing.where("shape IS NOT NULL AND row_count >= 0").select(
+            *LAKE, F.col("name").alias("table"), "shape", "format", "folder"
+        )
+        lake = LakeTables(readable, columns, self._foldered, options.parallel_jobs)
+        asked = {
+            "keys": (declared.keys, audit.declared_keys, audit_lake_keys, "KEY_DOES_NOT_HOLD", "key"),
+            "relationships": (
+                declared.relationships, audit.declared_relationships, audit_lake_relationships, "RELATIONSHIP_DOES_NOT_HOLD", "name",
+            ),
+        }
+        for what, (declarations, chosen, checked, code, name) in asked.items():
+            if declarations is None:
+                continue
+            rows = checked(lake, chosen(declarations, options.selected_tables, LAKE))
+            self._write((rows, f"audit/{what}", "json"))
+            self.audits[what] = rows = self._read(f"audit/{what}", rows.schema).select(rows.columns)
+            bad = rows.where("reason IS NOT NULL OR NOT holds").withColumn(
+                "_message", F.coalesce("reason", F.concat(F.lit("The data does not keep to "), F.col(name)))
+            )
+            codes = F.when(F.col("reason").isNull(), code).otherwise("AUDIT_NOT_POSSIBLE")
+            self.diagnostics.append(ledger.diagnostics_of(bad, codes, "warning", F.col("_message"), what.rstrip("s"), name, LAKE))
+
+    def _foldered(self, kind: str, folders: list[str]) -> tuple[DataFrame, str]:
+        """The rows of tables, with the folder of each row in the last column."""
+        frame, places = self._placed(self._rows(kind, folders))
+        folder = "_".join(["lake_folder", *places])
+        return frame.select("*", F.concat_ws("/", F.lit(self.root), *places).alias(folder)).drop(*places), folder
 
     def _listing(self) -> DataFrame:
         """Every table that is asked for, with its shape and flags, under a name and a slug of its own."""
@@ -404,4 +441,6 @@ class _LakeRun:
             counts,
             self._read("manifest", made.schema),
             self.exports,
+            self.audits.get("keys"),
+            self.audits.get("relationships"),
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salvage.plans.shapes import GIVEN, shape_sql
+from salvage.plans.shapes import DECLARED_KEYS, DECLARED_LINKS, GIVEN, UNKNOWN_KEYS, shape_sql
 
 # The given tables' columns: name and whether text, integer or anything else.
 COLUMNS = {
@@ -140,6 +140,7 @@ UNRECOVERED = _union(
     f"SELECT '{kind}', '*', 'UNSUPPORTED', CAST(0 AS DOUBLE), '{UNRECOVERED_REASON}', NULL, NULL, NULL, NULL, NULL"
     for kind in ("forms", "reports", "macros", "vba")
 )
+UNRECOVERED_KINDS = "(VALUES ('forms'), ('reports'), ('macros'), ('vba')) u(kind)"
 COVERAGE_HEAD = '(category, name, status, confidence, reason, "schemaPath", "rowCount", type, dialect, "fromTable")'
 LISTED_TABLES = """SELECT 'table', name, CASE WHEN row_count < 0 THEN 'FAILED' ELSE 'SUCCESS' END,
 CAST(CASE WHEN row_count < 0 THEN 0 ELSE 0.95 END AS DOUBLE),
@@ -287,6 +288,80 @@ def _lake_run() -> str:
     return f"{_with('saved_queries', 'lake_relationships')} {_union(rows)}"
 
 
+def _unpack_translated() -> str:
+    nulls = ", ".join(["NULL"] * 5)
+    rows = [
+        f"""SELECT 'table' AS category, '{t}' AS name, 'SUCCESS' AS status, CAST(0.95 AS DOUBLE) AS confidence,
+'Schema and row export completed' AS reason, '{t}' AS slug, 'schema/tables/slug={t}' AS "schemaPath",
+CAST(count(*) AS VARCHAR) AS "rowCount", NULL AS type, NULL AS dialect, NULL AS "fromTable", NULL AS "toTable", NULL AS dependencies,
+NULL AS "fromColumns", NULL AS "toColumns", true AS hashed FROM {t}"""
+        for t in GIVEN
+    ]
+    rows += [
+        f"SELECT 'relationship', '{name}', 'SUCCESS', 0.9, 'Relationship extracted', {nulls}, '{child}', '{parent}', NULL, "
+        f"'{ours}', '{theirs}', NULL"
+        for name, child, ours, parent, theirs in RELATIONSHIPS
+    ]
+    rows += [
+        f"SELECT 'query', name, 'SUCCESS', 0.85, 'Access SQL preserved and normalized query model written', NULL, NULL, NULL, {TYPE}, "
+        f"NULL, NULL, NULL, array_to_string({DEPENDENCIES}, '|'), NULL, NULL, NULL FROM saved_queries",
+        f"SELECT 'query-translation', name, CASE WHEN {CONFIDENCE} >= 0.5 THEN 'SUCCESS' ELSE 'PARTIAL' END, {CONFIDENCE}, "
+        f"'SQL translation generated conservatively', NULL, NULL, NULL, NULL, 'POSTGRES', {nulls}, NULL FROM saved_queries",
+        f"SELECT kind, '*', 'UNSUPPORTED', 0.0, '{UNRECOVERED_REASON}', {nulls}, {nulls}, NULL FROM {UNRECOVERED_KINDS}",
+    ]
+    return f"{_with('saved_queries')} {_union(rows)}"
+
+
+def _unpack_with_failures() -> str:
+    rows = [
+        f"SELECT 'coverage' AS ledger, 'table' AS kind, '{t}' AS name, 'SUCCESS' AS status, CAST(0.95 AS DOUBLE) AS confidence, "
+        f"'Schema and row export completed' AS reason FROM {t} HAVING count(*) >= 0"
+        for t in ("nation", "orders")
+    ]
+    rows += [
+        "SELECT 'coverage', 'table', 'broken', 'FAILED', 0.0, 'Table could not be read'",
+        "SELECT 'coverage', 'relationship', 'orders_customer', 'SUCCESS', 0.9, 'Relationship extracted'",
+        "SELECT 'coverage', 'query', name, 'SUCCESS', 0.85, 'Access SQL preserved and normalized query model written' FROM saved_queries",
+        f"SELECT 'coverage', 'query-translation', name, CASE WHEN {CONFIDENCE} >= 0.5 THEN 'SUCCESS' ELSE 'PARTIAL' END, {CONFIDENCE}, "
+        "'SQL translation generated conservatively' FROM saved_queries",
+        f"SELECT 'coverage', kind, '*', 'UNSUPPORTED', 0.0, '{UNRECOVERED_REASON}' FROM {UNRECOVERED_KINDS}",
+        "SELECT 'diagnostics', code, object_name, severity, NULL, message FROM diagnostics WHERE code <> 'VALIDATION_MISSING_ARTIFACTS'",
+        "SELECT 'diagnostics', 'PREFLIGHT_SCAN_FAILED', 'broken', 'warning', NULL, NULL",
+        "SELECT 'diagnostics', 'AUDIT_NOT_POSSIBLE', 'orders_customer', 'warning', NULL, 'A table or column it names is not there'",
+        "SELECT 'diagnostics', 'KEY_DOES_NOT_HOLD', 'uq_orders_customer', 'warning', NULL, 'The data does not keep to uq_orders_customer' "
+        "FROM orders HAVING count(o_custkey) > count(DISTINCT o_custkey)",
+    ]
+    return f"{_with('dump_files', 'links', 'saved_queries', 'lake_tables')}, {RESOLVED}, {MISSING}, {DIAGNOSTICS} {_union(rows)}"
+
+
+def _lake_key_audit() -> str:
+    rows = []
+    for source, table, name, columns, primary in DECLARED_KEYS:
+        kept = next(k for s, t, _, k in LAKE_TABLES if (s, t) == (source, table))
+        keys = ", ".join(columns)
+        missing = " OR ".join(f"{c} IS NULL" for c in columns)
+        holds = "n_dup = 0 AND n_null = 0" if primary else "n_dup = 0"
+        rows.append(f"""SELECT '{source}' AS source_id, '{table}' AS "table", '{name}' AS key, n_rows, n_dup, n_null, {holds} AS holds,
+CAST(NULL AS VARCHAR) AS reason FROM (SELECT count(*) AS n_rows, count(*) FILTER ({missing}) AS n_null, CAST(count(*) FILTER (NOT ({missing}))
+- (SELECT count(*) FROM (SELECT DISTINCT {keys} FROM {table} WHERE ({kept}) AND NOT ({missing}))) AS BIGINT) AS n_dup
+FROM {table} WHERE {kept})""")
+    rows += [
+        f"SELECT '{source}', '{table}', '{name}', NULL, NULL, NULL, NULL, 'A table or column it names is not there'"
+        for source, table, name, *_ in UNKNOWN_KEYS
+    ]
+    return _union(rows)
+
+
+def _lake_relationship_audit() -> str:
+    rows = []
+    for source, name, child, parent, (a,), (b,) in DECLARED_LINKS:
+        ours, theirs = (next(k for s, t, _, k in LAKE_TABLES if (s, t) == (source, table)) for table in (child, parent))
+        rows.append(f"""SELECT '{source}' AS source_id, '{name}' AS name, n_child, n_orphan, n_orphan = 0 AS holds,
+CAST(NULL AS VARCHAR) AS reason FROM (SELECT count(*) AS n_child, count(*) FILTER ({a} IS NOT NULL AND NOT EXISTS
+(SELECT 1 FROM {parent} p WHERE ({theirs}) AND p.{b} = c.{a})) AS n_orphan FROM {child} c WHERE {ours})""")
+    return _union(rows)
+
+
 ORACLES = {
     "dump_classes": f"{_with('dump_files')} SELECT *, {DUMP_CLASS} AS classification, {HEADLINE} AS headline FROM dump_files",
     "dump_siblings": f"""{_with('dump_files')}, {SIBLINGS}
@@ -462,4 +537,8 @@ scope, key, value FROM dump_files LEFT JOIN properties ON source = source_id""",
     "table_schemas": _table_schemas(),
     "unpack": _unpacked(True),
     "unpack_schema_only": _unpacked(False),
+    "unpack_translated": _unpack_translated(),
+    "unpack_with_failures": _unpack_with_failures(),
+    "lake_key_audit": _lake_key_audit(),
+    "lake_relationship_audit": _lake_relationship_audit(),
 }

@@ -7,6 +7,7 @@ last step, so that results compare as plain rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,10 @@ from salvage.functions import text, values
 from salvage.functions.names import safe_columns, slugged
 from salvage.operators import audit, corpus, ledger, scope, sinks
 from salvage.options import EVERYTHING, SCHEMA_ONLY
-from salvage.plans.shapes import given, given_tables, properties, shape
+from salvage.plans.shapes import DECLARED_KEYS, DECLARED_LINKS, UNKNOWN_KEYS, given, given_tables, properties, shape
 from salvage.plans.lake_run import LakeDeclarations, unpack_lake
 from salvage.plans.unpack import Declarations, unpack
-from salvage.session import scratch_dir, union_all
+from salvage.session import local_rows, scratch_dir, union_all
 from salvage.sources import dumps, tables
 from salvage.sources import lake as lakes
 from salvage.streaming.corpus_stream import stream_queries, write_query_models
@@ -690,3 +691,63 @@ def unpack_of_lake(spark, sf):
 @query
 def unpack_schema_only(spark, sf):
     return _unpacked(spark, sf, SCHEMA_ONLY)
+
+
+@query
+def unpack_translated(spark, sf):
+    """Coverage of a whole run that also translates, with all its details; lists are joined, hashes only told to be there."""
+    declared = Declarations(queries=shape(spark, sf, "saved_queries"), keys=KEYS, relationships=RELATIONSHIPS)
+    options = replace(EVERYTHING, translate_sql=DIALECT, export_data="PARQUET")
+    details, names = F.col("details"), "array<string>"
+    return unpack(spark, options.at(sf, scratch_dir(spark, "unpack")), declared).coverage.select(
+        "category", "name", "status", "confidence", "reason",
+        *[details[key].alias(key) for key in ("slug", "schemaPath", "rowCount", "type", "dialect", "fromTable", "toTable")],
+        *[F.array_join(F.from_json(details[key], names), "|").alias(key) for key in ("dependencies", "fromColumns", "toColumns")],
+        details["parquetSha256"].rlike("^[0-9a-f]{64}$").alias("hashed"),
+    )
+
+
+@query
+def unpack_with_failures(spark, sf):
+    """Both ledgers of a run in which a table has no footer, links lead elsewhere or nowhere, and declarations do not hold."""
+    source = scratch_dir(spark, "failing")
+    for name in ("nation", "orders"):
+        given(spark, sf, name).write.parquet(f"{source}/{name}.parquet")
+    given(spark, sf, "part").select("p_name").write.text(f"{source}/broken.parquet")
+    declared = Declarations(
+        queries=shape(spark, sf, "saved_queries"), links=shape(spark, sf, "links"), dump_files=shape(spark, sf, "dump_files"),
+        keys=[audit.Key("orders", "pk_orders", ("o_orderkey",), True), audit.Key("orders", "uq_orders_customer", ("o_custkey",))],
+        relationships=[audit.Relationship("orders_customer", "orders", "customer", ("o_custkey",), ("c_custkey",))],
+    )
+    options = replace(EVERYTHING, translate_sql=DIALECT, full_fidelity="ON", audit=True, export_data="JSON")
+    result = unpack(spark, options.at(source, scratch_dir(spark, "unpack")), declared)
+    covered = result.coverage.select(F.lit("coverage").alias("ledger"), F.col("category").alias("kind"), "name", "status", "confidence", "reason")
+    # What an engine says about a broken file is its own affair.
+    message = F.when(F.col("code") != "PREFLIGHT_SCAN_FAILED", F.col("message"))
+    told = result.diagnostics.select(
+        F.lit("diagnostics").alias("ledger"), F.col("code").alias("kind"), F.col("object_name").alias("name"), F.col("severity").alias("status"),
+        F.lit(None).cast("double").alias("confidence"), message.alias("reason"),
+    )
+    return covered.unionByName(told)
+
+
+def _lake_audits(spark, sf):
+    keys = [(s, table, name, primary, True, list(columns)) for s, table, name, columns, primary in (*DECLARED_KEYS, *UNKNOWN_KEYS)]
+    rels = [(s, name, child, parent, list(a), list(b), False, False) for s, name, child, parent, a, b in DECLARED_LINKS]
+    declared = LakeDeclarations(
+        keys=local_rows(spark, keys, "source_id string, " + audit.KEYS),
+        relationships=local_rows(spark, rels, "source_id string, " + audit.RELATIONSHIPS),
+    )
+    options = replace(SCHEMA_ONLY, audit=True).at(_written_lake(spark, sf), scratch_dir(spark, "lake-audit"))
+    return unpack_lake(spark, options, declared)
+
+
+@query
+def lake_key_audit(spark, sf):
+    """Declared keys of all sources of a written lake against its tables."""
+    return _lake_audits(spark, sf).key_audits
+
+
+@query
+def lake_relationship_audit(spark, sf):
+    return _lake_audits(spark, sf).relationship_audits

@@ -100,6 +100,25 @@ SELECT 't' || CAST(p_partkey % 50 AS VARCHAR(20)) AS "table", 'ix' || CAST(p_par
 p_size % 2 = 0 AS primary_key, p_size % 3 = 0 AS "unique", split(p_name, ' ') AS columns FROM {part}""",
 }
 
+# What the two sources of the written lake declare: source, table, name, columns and whether it is a primary key.
+DECLARED_KEYS = [
+    ("one", "nation", "pk_nation", ("n_nationkey",), True), ("one", "customer", "pk_customer", ("c_custkey",), True),
+    ("one", "orders", "pk_orders", ("o_orderkey",), True), ("one", "orders", "uq_orders_customer", ("o_custkey",), False),
+    ("one", "events", "pk_events", ("event_id",), True), ("two", "customer", "pk_customer", ("c_custkey",), True),
+    ("two", "part", "pk_part", ("p_partkey",), True), ("two", "part", "uq_part_name", ("p_name",), False),
+    ("two", "conversations", "uq_conversations", ("conv_id", "turn"), False),
+]
+# Source, name, child, parent and their columns.
+DECLARED_LINKS = [
+    ("one", "orders_customer", "orders", "customer", ("o_custkey",), ("c_custkey",)),
+    ("one", "customer_nation", "customer", "nation", ("c_nationkey",), ("n_nationkey",)),
+    ("one", "nation_customer", "nation", "customer", ("n_nationkey",), ("c_custkey",)),
+    # From one format to another.
+    ("two", "part_customer", "part", "customer", ("p_partkey",), ("c_custkey",)),
+]
+# Declared where there is no such table, or column.
+UNKNOWN_KEYS = ("two", "orders", "pk_orders", ("o_orderkey",), True), ("one", "nation", "ix_nation", ("n_rank",), False)
+
 
 def shape_sql(name: str, quote: str = '"') -> str:
     """The text of a shape over the names of given tables."""
