@@ -29,6 +29,8 @@ ORDER = 5
 BUCKET_BYTES = 16 << 20
 # Bytes of a bucket that are turned into numbers at once.
 _AT_ONCE = 4 << 20
+# Groups of grams that are worked out together, for each shard.
+PARTS = 16
 _END = 0xFF
 
 
@@ -50,12 +52,14 @@ def grams(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_log10(
-    codes: np.ndarray, counts: np.ndarray, pairs: np.ndarray, singles: np.ndarray, order: int = ORDER
-) -> np.ndarray:
-    """log10 of the probability of each gram, for all different grams whose contexts end in the same two bytes.
-
-    ``counts`` are those of training; grams only met elsewhere have 0. ``pairs`` (256 x 256) and ``singles`` (256) count the last
-    two bytes and the last byte of all training grams.
+    codes: np.ndarray, counts: np.ndarray, thirds: np.ndarray, third_n: np.ndarray,
+    pairs: np.ndarray, singles: np.ndarray, order: int = ORDER,
+) -> np.ndarray:
+    """log10 of the probability of each gram, for all different grams whose contexts end in some triples of bytes.
+
+    ``counts`` are those of training; grams only met elsewhere have 0. ``thirds`` are the last three bytes, in order, of all grams
+    of the corpus whose contexts end in the same two bytes as one of these, ``third_n`` their counts; ``pairs`` (256 x 256) and
+    ``singles`` (256) count the last two bytes and the last byte of all training grams.
     """
     byte, before = codes & 0xFF, codes >> 8 & 0xFF
     result = np.zeros(len(codes))
@@ -63,6 +67,8 @@ def gram_log10(
     # Of the longer context, per gram: different bytes seen, and their counts in the shorter context.
     ruled_d, ruled_t = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
     keys, key_n, key_of = codes, counts, np.arange(len(codes))
+    if order == 2:
+        keys, key_n, key_of = thirds, third_n, np.searchsorted(thirds, codes)
     for k in range(order, -1, -1):
         if k >= 2:
             contexts, context_of = np.unique(keys >> 8, return_inverse=True)
@@ -80,8 +86,12 @@ def gram_log10(
         escapes = open_ & (left_d > 0)
         result[escapes] += np.log10(left_d[escapes] / (2 * left_t[escapes]))
         if k > 2:
-            shorter, shorter_of = np.unique(keys & ((1 << (8 * k)) - 1), return_inverse=True)
-            shorter_n = np.bincount(shorter_of, key_n, len(shorter)).astype(np.int64)
+            ends = keys & ((1 << (8 * k)) - 1)
+            if k == 3:
+                shorter, shorter_of, shorter_n = thirds, np.searchsorted(thirds, ends), third_n
+            else:
+                shorter, shorter_of = np.unique(ends, return_inverse=True)
+                shorter_n = np.bincount(shorter_of, key_n, len(shorter)).astype(np.int64)
             ruled = np.bincount(context_of, shorter_n[shorter_of] * (key_n > 0), len(contexts)).astype(np.int64)
             ruled_t, ruled_d = ruled[context_of][key_of], d
             keys, key_n, key_of = shorter, shorter_n, shorter_of[key_of]
@@ -168,7 +178,8 @@ def scores(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Held out are documents whose checksum has the remainder 1; the model and the base learn from all others. ``score`` is
-    log10 of the model's probability of the whole text in lower case (A-Z) and its end. The base adds log10((c + 0.5) /
+    log10 of the model's probability of the whole text in lower case (A-Z) and its end, a sum of logarithms that are each cut to
+    single precision (relative error below 1e-6). The base adds log10((c + 0.5) /
     (N + 0.5 (V + 1))) over the words and the end of the text.
 
     Null texts count as empty, null ids as empty text in the checksum; repeated rows are counted, and come back, as often as
@@ -221,22 +232,29 @@ def scores(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES
     n, v = n or 0, v or 0
     counted = counted.where("gram >= 0").select("gram", "c")
 
-    # 65,536 pairs of bytes at most.
+    # 2^24 triples and 65,536 pairs of bytes at most.
+    thirds = written(counted.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFFFF)).alias("third")).agg(F.sum("c").alias("c")), "thirds")
     pairs = np.zeros((256, 256), np.int64)
-    two = counted.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("two")).agg(F.sum("c").alias("c")).toArrow()
+    two = thirds.groupBy(F.col("third").bitwiseAND(F.lit(0xFFFF)).alias("two")).agg(F.sum("c").alias("c")).toArrow()
     pairs.reshape(-1)[two.column("two").to_numpy()] = two.column("c").to_numpy()
     singles = pairs.sum(axis=0)
 
-    def likely(table: pa.Table) -> pa.Table:
-        table = table.sort_by("gram")
+    def likely(table: pa.Table, lower: pa.Table) -> pa.Table:
+        table, lower = table.sort_by("gram"), lower.sort_by("third")
         codes = table.column("gram").to_numpy()
-        value = gram_log10(codes, table.column("c").to_numpy(), pairs, singles, order)
+        third, third_n = lower.column("third").to_numpy(), lower.column("c").to_numpy()
+        value = gram_log10(codes, table.column("c").to_numpy(), third, third_n, pairs, singles, order)
         return pa.table({"gram": codes, "value": value, "shard": (_mixed(codes) % np.uint64(shards)).astype(np.int32)})
 
-    # Grams whose contexts end in the same two bytes are worked out together: different ones, so few beside the texts.
-    ending = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("ending")
-    values = counted.select("gram", "c", ending).groupBy("ending").applyInArrow(
-        lambda table: likely(table.select(["gram", "c"])), "gram long, value double, shard int"
+    # Grams whose contexts end in the same three bytes are worked out together, with the counts of the shorter contexts beside
+    # them: at most 2^24 different grams for an ending at order 5, and as many parts as the input asks for.
+    ending = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF))
+    parted = counted.select("gram", "c", F.pmod(F.xxhash64(ending), F.lit(PARTS * shards)).alias("part"))
+    needed = parted.select("part", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("two")).distinct()
+    lower = needed.join(thirds.withColumn("two", F.shiftright("third", 8)), "two").select("part", "third", "c")
+    lower = written(lower, "lower")
+    values = parted.groupBy("part").cogroup(lower.groupBy("part")).applyInArrow(
+        lambda table, lower: likely(table.select(["gram", "c"]), lower.select(["third", "c"])), "gram long, value double, shard int"
     )
 
     def answer(packs: pa.Table, known: pa.Table) -> pa.Table:
