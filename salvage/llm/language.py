@@ -22,13 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salvage.llm.common import documents, fold, one_array, pieces, ragged, string_hashes, written
+from salvage.llm.common import documents, fold, one_array, pieces, string_hashes, written
 
 # Bytes of context; at most 6, so that a context and what follows it fit a long.
 ORDER = 5
 BUCKET_BYTES = 16 << 20
-# Bytes of a bucket that are turned into numbers at once.
-_AT_ONCE = 4 << 20
+# Bytes of a bucket that are turned into numbers at once, each of them into some numbers of eight bytes.
+_AT_ONCE = 2 << 20
 # Groups of grams that are worked out together, for each shard.
 PARTS = 16
 _END = 0xFF
@@ -42,13 +42,20 @@ def grams(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     sizes = np.diff(offsets)
     starts = np.arange(n) * (order + 1) + (offsets[:-1] - offsets[0]) + order
+    # Masks, as places would take eight times as much as the text.
+    between = (starts + sizes)[:, None] + np.arange(order + 1)
     padded = np.full(len(raw) + n * (order + 1), _END, np.uint8)
-    padded[ragged(starts, sizes)] = raw
+    mask = np.ones(len(padded) + order, bool)
+    mask[:order] = False
+    mask[between] = False
+    padded[mask[: len(padded)]] = raw
     codes = np.zeros(max(0, len(padded) - order), np.int64)
     for at in range(order + 1):
         np.left_shift(codes, 8, out=codes)
         np.bitwise_or(codes, padded[at : at + len(codes)], out=codes)
-    return codes[ragged(starts - order, sizes + 1)], sizes + 1
+    mask = np.ones(len(codes) + order, bool)
+    mask[between[:, 1:] - order] = False
+    return codes[mask[: len(codes)]], sizes + 1
 
 
 def gram_log10(
@@ -142,7 +149,9 @@ def _train_counts(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray,
     """The different grams and words of some documents, each with its count in training documents."""
     text, learnt = one_array(table.column("text")), one_array(table.column("held_out")).to_numpy(zero_copy_only=False) == 0
     codes, sizes = grams(text, order)
-    keys = np.sort(codes << 1 | np.repeat(learnt, sizes))
+    keys = np.left_shift(codes, 1, out=codes)
+    keys |= np.repeat(learnt, sizes)
+    keys.sort()
     first = np.flatnonzero(np.append(True, keys[1:] >> 1 != keys[:-1] >> 1))
     words, owner = _words(text)
     words = pa.concat_arrays([words, pa.array([""] * len(text), words.type)])
@@ -150,6 +159,18 @@ def _train_counts(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray,
     return keys[first] >> 1, np.add.reduceat(keys & 1, first), different, times
 
 
+def _bucket_counts(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """The same of a whole bucket, whose grams are added up part by part, so that only one part is there as numbers."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words, times = [], []
+    for part in pieces(table.to_batches(), _AT_ONCE):
+        more, more_n, said, said_n = _train_counts(part, order)
+        keys, counts = _merged([keys, more], [counts, more_n])
+        words.append(said)
+        times.append(said_n)
+    return keys, counts, *_summed_words(pa.concat_arrays(words), np.concatenate(times))
+
+
 def _parted(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in order of their shard, and where each shard begins and the last one ends."""
     order = np.argsort(shard, kind="stable")
@@ -170,8 +191,10 @@ def _buckets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[int
 
     first = TaskContext.get().partitionId() << 32
     for i, table in enumerate(pieces(batches, size)):
-        lower = pc.ascii_lower(one_array(table.column("text")))
-        yield first + i, table.set_column(table.schema.get_field_index("text"), "text", lower)
+        # Neither the texts as they came nor what the bucket before has left stays beside them.
+        table = table.set_column(table.schema.get_field_index("text"), "text", pc.ascii_lower(one_array(table.column("text"))))
+        pa.default_memory_pool().release_unused()
+        yield first + i, table
 
 
 def scores(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -195,9 +218,7 @@ def scores(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, table in _buckets(batches, bucket_bytes):
-            found = [_train_counts(part, order) for part in pieces(table.to_batches(), _AT_ONCE)]
-            keys, counts = _merged([f[0] for f in found], [f[1] for f in found])
-            words, times = _summed_words(pa.concat_arrays([f[2] for f in found]), np.concatenate([f[3] for f in found]))
+            keys, counts, words, times = _bucket_counts(table, order)
             by_key, key_edges = _parted(_mixed(keys) % np.uint64(shards), shards)
             by_word, word_edges = _parted(string_hashes(words) % np.uint64(shards), shards)
             for s in range(shards):
@@ -291,6 +312,7 @@ def scores(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES
         words = known.column("words").combine_chunks().flatten()
         word_n = known.column("word_n").combine_chunks().flatten().to_numpy()
         parts = [_scored(part, order, codes, value, words, word_n, n, v) for part in pieces(table.to_batches(), _AT_ONCE)]
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(parts)
 
     return texts.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(score, _SCORES)
