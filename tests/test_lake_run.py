@@ -9,6 +9,7 @@ from salvage.operators import sinks
 from salvage.options import UnpackOptions
 from salvage.plans import lake_run
 from salvage.plans.lake_run import LakeDeclarations, unpack_lake
+from salvage.sources import lake as lakes
 from salvage.sources.tables import READERS, UNREADABLE
 
 
@@ -178,3 +179,17 @@ def test_jobs_do_not_follow_the_sources(spark, tmp_path):
 
     # Spark lists more than 32 folders in a job of its own.
     assert jobs(80) <= jobs(40)
+
+
+def test_paths_of_exports_are_not_worked_out_for_every_row(spark, lake, tmp_path):
+    run = lake_run._LakeRun(spark, options(lake, tmp_path / "out"), LakeDeclarations())
+    run.tables()
+    _, counted = run._written({"PARQUET", "JSON"})
+    asked = run.files.join(counted, "source_id", "left").where("_entry LIKE '%.parquet'")
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    # What is asked of the counts cannot come before the counting.
+    assert "_metadata" not in plan and "RLIKE" not in plan
+    read = lakes.row_counts(spark, str(lake), ("parquet",)).where("path LIKE '%x%'").select("n")
+    below = read._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1].splitlines()[0]
+    assert "regexp_replace" not in below
+    assert {(r["source_id"], r["_entry"]): r["_n"] for r in counted.where("format = 'JSON'").collect()}["s1", "Main Table.parquet"] == 3
