@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from salvage.plans.queries import QUERIES
 from salvage.sources import dumps
 from salvage.sources import files as files_module
 
@@ -54,6 +55,34 @@ def test_catalog_of_a_store_that_only_hadoop_reads(spark, tmp_path):
     assert [(r["path"], r["sha256"]) for r in rows] == [("viewfs://dumps/lake/_a.mdb", hashlib.sha256(b"x" * 1000).hexdigest())]
 
 
+def test_a_second_reading_takes_long_files_whole_without_one_value(spark, tmp_path, monkeypatch):
+    contents = {"a": os.urandom(1000), "sub dir/b [1]*.x": os.urandom(1001), "sub dir/d ü": os.urandom(2_500_000)}
+    for name, blob in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(blob)
+    monkeypatch.setattr(files_module, "WHOLE_VALUE", 1000)
+    # Spark's reader fails on any file longer than this, as it always does on one of more than 2 GiB.
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        rows = files_module.hash_files_again(spark, str(tmp_path)).collect()
+        (hashes,) = QUERIES["dump_hashes"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    want = {(name.rsplit("/")[-1], len(blob), hashlib.sha256(blob).hexdigest()) for name, blob in contents.items()}
+    assert {(r["path"].rsplit("/", 1)[-1], r["length"], r["again"]) for r in rows} == want and len(rows) == len(want)
+    assert hashes.hash_form and hashes.agrees and hashes.same_size
+
+
+def test_a_long_file_that_cannot_be_read_has_no_second_hash(spark, tmp_path, monkeypatch):
+    for name in ("a", "b"):
+        (tmp_path / name).write_bytes(name.encode() * 20)
+    # Checksums of Hadoop's local store that are not the file's.
+    (tmp_path / ".b.crc").write_bytes(b"crc\0" + (512).to_bytes(4, "big") + b"\0\0\0\0")
+    monkeypatch.setattr(files_module, "WHOLE_VALUE", 10)
+    found = files_module.hash_files_again(spark, str(tmp_path)).collect()
+    assert {r["path"][-1]: r["again"] for r in found} == {"a": hashlib.sha256(b"a" * 20).hexdigest(), "b": None}
+
+
 def test_catalog_without_hash_opens_no_file(spark, tmp_path):
     (tmp_path / "a.mdb").write_bytes(b"x")
     df = dumps.dump_catalog(spark, str(tmp_path), hashed=False)
