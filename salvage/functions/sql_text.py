@@ -130,15 +130,17 @@ def found_sources(sql: Column, mode: str = "compat") -> Column:
     raise ValueError(f"mode={mode!r} is neither 'compat' nor 'strict'")
 
 
-def dependencies(found: Column) -> Column:
-    """Trimmed, distinct, first seen first, from ``found_sources``.
+def dependencies(found: Column, mode: str = "compat") -> Column:
+    """Trimmed, distinct, first seen first, from ``found_sources`` in the same mode.
 
-    Names are trimmed in the joined text rather than one by one, which keeps the step code-generated.
+    Names are trimmed in the joined text rather than one by one, which keeps the step code-generated. Only strict names can
+    hold the sign that joins them.
     """
     trimmed = F.btrim(F.regexp_replace(found, r" *\| *", "|"))
     names = F.array_distinct(F.split(trimmed, r"\|"))
-    plain = F.transform(names, lambda t: F.replace(F.replace(t, F.lit(_SIGN), F.lit("|")), F.lit(_ESCAPE), F.lit(_ESCAPE[0])))
-    names = F.when(found.contains(_ESCAPE[0]), plain).otherwise(names)
+    if mode == "strict":
+        plain = F.transform(names, lambda t: F.replace(F.replace(t, F.lit(_SIGN), F.lit("|")), F.lit(_ESCAPE), F.lit(_ESCAPE[0])))
+        names = F.when(found.contains(_ESCAPE[0]), plain).otherwise(names)
     return F.when(found == "", F.array().cast("array<string>")).otherwise(names)
 
 

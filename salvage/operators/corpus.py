@@ -59,7 +59,7 @@ def dialect_warnings(q: DataFrame) -> DataFrame:
 def query_dependencies(q: DataFrame, mode: str = "compat") -> DataFrame:
     """D3: the tables a query names, distinct, first seen first."""
     return _finished(
-        _prepared(q, mode=mode).withColumn("dependencies", sql_text.dependencies(F.col(_FOUND)))
+        _prepared(q, mode=mode).withColumn("dependencies", sql_text.dependencies(F.col(_FOUND), mode))
     )
 
 
@@ -135,7 +135,7 @@ def query_models(
         sql_text.query_class(F.col(_HEAD)).alias("type"),
         F.coalesce("sql", F.lit("")).alias("sql"),
         F.array().cast("array<string>").alias("parameters"),
-        sql_text.dependencies(F.col(_FOUND)).alias("dependencies"),
+        sql_text.dependencies(F.col(_FOUND), mode).alias("dependencies"),
         sql_text.dialect_warnings(F.col(_LOWER)).alias("warnings"),
     )
 

@@ -152,7 +152,7 @@ def query_coverage(
         F.when(translation, _map(dialect=F.lit(dialect.upper())))
         .otherwise(
             _map(
-                dependencies=F.to_json(sql_text.dependencies(F.col("_found"))),
+                dependencies=F.to_json(sql_text.dependencies(F.col("_found"), mode)),
                 type=sql_text.query_class(F.col("_head")),
             )
         )

@@ -39,6 +39,14 @@ def test_query_coverage(spark, dialect, n):
         assert rows[1]["details"] == {"dialect": "MYSQL"}
 
 
+def test_query_coverage_unescapes_names_in_strict_mode_only(spark):
+    q = spark.createDataFrame([("q", "SELECT a FROM [A|B] JOIN c")], "name string, sql string")
+    compat, strict = ledger.query_coverage(q), ledger.query_coverage(q, mode="strict")
+    assert "lambda" not in compat._jdf.queryExecution().executedPlan().toString()
+    assert compat.first()["details"]["dependencies"] == '["A","c"]'
+    assert strict.first()["details"]["dependencies"] == '["A|B","c"]'
+
+
 def test_counting_query_coverage_parses_no_sql(spark, tmp_path):
     spark.createDataFrame([("q", "select 1 from a")], "name string, sql string").write.parquet(str(tmp_path / "q"))
     counted = ledger.query_coverage(spark.read.parquet(str(tmp_path / "q")), "ANSI").groupBy().count()
